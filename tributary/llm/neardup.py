@@ -212,7 +212,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     salts = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", F.ceil(F.col("n") / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(salts, "l").select("k", "l", F.pmod(F.xxhash64("k", F.lit(11)), F.col("salts")).cast("int").alias("s"), F.lit(1).alias("kind"))
     heads = salts.select(F.col("l").alias("k"), "l", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.lit(0).alias("kind"))
-    wanted = members.unionByName(heads).join(source, "k").repartition("l", "s").sortWithinPartitions("l", "s", "kind")
+    wanted = members.unionByName(heads).join(source.hint("merge"), "k").repartition("l", "s").sortWithinPartitions("l", "s", "kind")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = idf.value

@@ -1,0 +1 @@
+"""Streaming: the engine that this laboratory answers for has none, so nothing is claimed here."""

@@ -81,14 +81,14 @@ def _more_joins() -> None:
 
 def _hashes() -> None:
     forms = {
-        "hash_modulo": (hashing.modulo("o_orderkey", 64, 0, 3), "(o_orderkey & 504) >> 3"),
-        "hash_magic": (hashing.magic("o_orderkey", 1024), "(((o_orderkey >> 2) & ~CAST(7 AS BIGINT)) | (o_orderkey & 7)) & 1023"),
-        "radix_pid_hash": (hashing.radix("o_orderkey", 7, 2), "(o_orderkey & 508) >> 2"),
-        "radix_pid_merge": (hashing.radix_from_one("o_orderkey", 7), "(o_orderkey - 1) & 127"),
-        "hash_range": (hashing.in_range("o_orderkey", 64, 0, 1_999_999), "CAST(floor(((o_orderkey * 64) / 2000000.0)) AS BIGINT)"),
+        "hash_modulo": (lambda: hashing.modulo("o_orderkey", 64, 0, 3), "(o_orderkey & 504) >> 3"),
+        "hash_magic": (lambda: hashing.magic("o_orderkey", 1024), "(((o_orderkey >> 2) & ~CAST(7 AS BIGINT)) | (o_orderkey & 7)) & 1023"),
+        "radix_pid_hash": (lambda: hashing.radix("o_orderkey", 7, 2), "(o_orderkey & 508) >> 2"),
+        "radix_pid_merge": (lambda: hashing.radix_from_one("o_orderkey", 7), "(o_orderkey - 1) & 127"),
+        "hash_range": (lambda: hashing.in_range("o_orderkey", 64, 0, 1_999_999), "CAST(floor(((o_orderkey * 64) / 2000000.0)) AS BIGINT)"),
     }
     for name, (column, sql) in forms.items():
-        _add(name, lambda s, d, c=column: read_table(s, d, "orders").select("o_orderkey", c.alias("pid")), f"SELECT o_orderkey, {sql} AS pid FROM orders")
+        _add(name, lambda s, d, c=column: read_table(s, d, "orders").select("o_orderkey", c().alias("pid")), f"SELECT o_orderkey, {sql} AS pid FROM orders")
     pid = lambda: hashing.radix("o_orderkey", 7)
     counts = "SELECT o_orderkey & 127 AS pid, count(*) AS n FROM orders GROUP BY 1"
     _add("partition_histogram", lambda s, d: partitioning.histogram(read_table(s, d, "orders"), pid()), counts)
@@ -111,8 +111,8 @@ def _sorts() -> None:
 
 
 def _orders() -> None:
-    star_edges = {frozenset(("lineitem", t)): F.col(k) == F.col(f) for t, k, f in (("part", "p_partkey", "l_partkey"), ("supplier", "s_suppkey", "l_suppkey"), ("orders", "o_orderkey", "l_orderkey"))}
-    chain_edges = {frozenset(("customer", "orders")): F.col("c_custkey") == F.col("o_custkey"), frozenset(("orders", "lineitem")): F.col("o_orderkey") == F.col("l_orderkey"), frozenset(("lineitem", "part")): F.col("l_partkey") == F.col("p_partkey")}
+    star_edges = {frozenset(("lineitem", t)): (k, f) for t, k, f in (("part", "p_partkey", "l_partkey"), ("supplier", "s_suppkey", "l_suppkey"), ("orders", "o_orderkey", "l_orderkey"))}
+    chain_edges = {frozenset(("customer", "orders")): ("c_custkey", "o_custkey"), frozenset(("orders", "lineitem")): ("o_orderkey", "l_orderkey"), frozenset(("lineitem", "part")): ("l_partkey", "p_partkey")}
     kinds = {"star": (star_edges, ("lineitem", "part", "supplier", "orders"), "lineitem"), "chain": (chain_edges, ("customer", "orders", "lineitem", "part"), None)}
     where = {"part": "p_size <= 25", "orders": "o_totalprice > 100000", "supplier": "s_acctbal > 0", "customer": "c_acctbal > 0"}
     for kind, (edges, names, fact) in kinds.items():
@@ -122,7 +122,7 @@ def _orders() -> None:
 
         def run(s: SparkSession, d: str, order: tuple, edges=edges, only: dict | None = None) -> DataFrame:  # noqa: ANN001
             tables = {n: read_table(s, d, n).where((only or {}).get(n, "true")) for n in order}
-            return multijoin.left_deep(tables, edges, order).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_linenumber").alias("lines"), F.sum("p_size").alias("sizes"))
+            return multijoin.left_deep(tables, {e: F.col(a) == F.col(b) for e, (a, b) in edges.items()}, order).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_linenumber").alias("lines"), F.sum("p_size").alias("sizes"))
 
         for i, order in enumerate(costmodel.orders(shape)):
             _add(f"{kind}_join_order{i + 1}", lambda s, d, o=order, r=run: r(s, d, o), select + join_sql)

@@ -98,8 +98,8 @@ def _hashes() -> None:
 
 
 def _sorts() -> None:
-    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    _add("sort_ranks", lambda s, d: read_table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("place")), "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders")
+    order = lambda: Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    _add("sort_ranks", lambda s, d: read_table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order()).cast("long").alias("place")), "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders")
     _add("sort_check", lambda s, d: partitioning.descents(read_table(s, d, "lineitem"), "l_partkey"), "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS descents FROM lineitem")
 
     def merged(s: SparkSession, d: str) -> DataFrame:

@@ -131,6 +131,13 @@ def test_knn_equals_brute_force(spark):
     assert got == want
 
 
+def test_knn_own_row_takes_no_place(spark):
+    # all answers of query 0 lie in its own group, and the query itself scores highest there
+    data = [(i, [10.0 - i, 0.0]) for i in range(8)]
+    got = sorted(map(tuple, knn.top_k(knn.integers(spark.createDataFrame(data, "vec_id long, embedding array<float>"), 1), knn.integers(spark.createDataFrame(data[:1], "vec_id long, embedding array<float>"), 1), 5, 1).collect()))
+    assert got == [(0, i, i, 10 * (10 - i)) for i in range(1, 6)]
+
+
 def test_toxicity_restores(spark):
     df = spark.createDataFrame([(i, "you are an idiot and a stupid moron " * 3) for i in range(40)] + [(99, None)], "doc_id long, text string")
     own = toxicity.Restorer(toxicity.language_model(df))

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from tributary.llm.runtime import map_batches, table
 
 PIVOTS = 64
+#: Score of a query against itself. Its negative is in range too, so that it sorts last.
+NEVER = np.iinfo(np.int64).min + 1
 #: Rows of a group, and queries, that one task meets; larger groups are cut into parts, and queries into blocks.
 PART_ROWS, QUERY_ROWS = 4096, 8192
 
@@ -114,12 +116,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
         for a in range(0, len(left), 256):
             block = left[a : a + 256]
             s = _exact(np.stack(block["v"].to_numpy()), x)
-            s[block["q"].to_numpy()[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+            s[block["q"].to_numpy()[:, None] == ids[None, :]] = NEVER
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order, so ties fall to the smaller
             val = np.take_along_axis(s, best, 1)
             out.append(pd.DataFrame({"q": np.repeat(block["q"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "score": val.ravel()}))
         found = pd.concat(out)
-        return found[found["score"] != np.iinfo(np.int64).min]
+        return found[found["score"] != NEVER]
 
     local = sent.groupBy(*key).cogroup(parted.groupBy(*key)).applyInPandas(solved, T.StructType([T.StructField(c, T.LongType()) for c in ("q", "id", "score")]))
     merged = local.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))

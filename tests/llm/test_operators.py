@@ -147,6 +147,16 @@ def test_toxicity_restores(spark):
     assert toxicity.classify(df, labels).count() == 41
 
 
+def test_logistic_reaches_the_minimum_on_separable_classes():
+    rng = np.random.default_rng(2)
+    for n, t in ((4000, 400), (4500, 60), (500, 500)):
+        a = np.concatenate([rng.uniform(0, 2.5, n), rng.uniform(5, 6.5, t)])
+        x, y = np.column_stack([a, np.log1p(a * 3 * (a > 2))]), np.repeat([0.0, 1.0], [n, t])
+        z = np.column_stack([np.ones(n + t), x]) @ toxicity._logistic(x, y)
+        assert (z[y == 1] > 0.85).all() and (z[y == 0] < 0.85).all()
+    assert toxicity._logistic(np.zeros((9, 2)), np.zeros(9)).shape == (3,)
+
+
 def test_language_id(spark):
     data = [(i, "the house and the garden of the king", "en") for i in range(30)] + [(100 + i, "das haus und der garten des königs", "de") for i in range(30)] + [(300, None, "en"), (301, "12 !", None)]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}

@@ -294,15 +294,29 @@ def _inputs(rows: DataFrame, found, model) -> pd.DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton's method with a small penalty; the constant first."""
+    """Newton's method with a small penalty; the constant first. A step is halved until the loss falls, so that separable
+    classes, where full steps overshoot, end at the minimum too."""
     x = np.column_stack([np.ones(len(x)), x])
+    ridge = np.array([1e-6, *[0.05] * (x.shape[1] - 1)])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (ridge * w * w).sum() / 2)
+
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, *[0.05] * (x.shape[1] - 1)])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), x.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-9), slope)
+        size = 1.0
+        while size > 1e-9 and not loss(w + size * step) < now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        w = w + size * step
+        now = loss(w)
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.runtime import Texts, kept, map_batches, slices, table
+from tributary.llm.runtime import Texts, kept, map_batches, ragged, slices, table
 from tributary.llm.splitting import blank_words, gram_hashes, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -18,8 +18,8 @@ BANDS, ROWS = 16, 4
 #: Words in fewer than this part of the documents count as rare as those in it: a table of others has at most the mean number of
 #: different words in a document, divided by it, however many documents there are.
 RARE = 1e-3
-#: Members that one verifying task compares with a leader.
-MEMBERS = 256
+#: Members that one verifying task compares with a leader, and texts that take a leader's part in a task of the second pass.
+MEMBERS, HEADS = 256, 64
 LEAST_WEIGHT = 0.05
 
 
@@ -174,13 +174,65 @@ def similar(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
     return both / union if union else 0.0
 
 
+class Block:
+    """Texts that one verifying task compares others with, as one sorted list of shingles."""
+
+    def __init__(self, place: tuple, similarity: float):
+        self.place, self.similarity = place, similarity
+        self.keys: list[int] = []
+        self.roots: list[int] = []
+        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.joined: dict[int, int] = {}
+        self.ready = False
+
+    def add(self, k: int, root: int, text: tuple[np.ndarray, np.ndarray]) -> None:
+        self.keys.append(k)
+        self.roots.append(root)
+        self.texts.append((text[0].copy(), text[1].copy()))
+
+    def _sort(self) -> None:
+        h = np.concatenate([a for a, _ in self.texts])
+        order = np.argsort(h, kind="stable")
+        self.h, self.w = h[order], np.concatenate([b for _, b in self.texts])[order]
+        self.owner = np.repeat(np.arange(len(self.texts)), [len(a) for a, _ in self.texts])[order]
+        self.sums = np.array([b.sum(dtype=np.float64) for _, b in self.texts])
+        self.texts, self.ready = [], True
+
+    def _root(self, r: int) -> int:
+        while r in self.joined:
+            r = self.joined[r]
+        return r
+
+    def links(self, k: int, root: int, text: tuple[np.ndarray, np.ndarray], both_ways: bool) -> list[int]:
+        """Keys of texts as similar as asked that nothing yet joins with this one; if not both_ways, of smaller keys only."""
+        if not self.keys:
+            return []
+        mine = self._root(root)
+        open_ = [i for i, x in enumerate(self.keys) if (both_ways or x < k) and self._root(self.roots[i]) != mine]
+        if not open_:
+            return []
+        if not self.ready:
+            self._sort()
+        lo, hi = np.searchsorted(self.h, text[0], "left"), np.searchsorted(self.h, text[0], "right")
+        at = ragged(lo, hi - lo)
+        common = np.bincount(self.owner[at], np.minimum(self.w[at], np.repeat(text[1], hi - lo)), len(self.keys))
+        union = self.sums + text[1].sum(dtype=np.float64) - common
+        out = []
+        for i in open_:
+            if union[i] and common[i] / union[i] >= self.similarity and self._root(self.roots[i]) != self._root(root):
+                self.joined[self._root(self.roots[i])] = self._root(root)
+                out.append(self.keys[i])
+        return out
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, class_id): documents linked by a chain of texts with weighted Jaccard similarity of at least `similarity` share
     the smallest key among them.
 
-    Equal texts are one text with its smallest key. Texts meet in a band; there each meets the band's leaders (its smallest key,
-    its largest, and one by a hash), so that a group costs its members and not their pairs; what has met is verified on the
-    whole texts. Null keys take no part. A null text counts as empty; texts without words are similar only to equal texts.
+    Equal texts are one text with its smallest key. Texts meet in a band; there each is first compared with the bucket's leaders
+    (its smallest key, its largest, and one by a hash), which joins a group at the cost of its members and not of their pairs.
+    Then all pairs of a bucket that are still in different components are compared, so no link between texts that share a band
+    is left out. Comparisons are of the whole texts. Null keys take no part. A null text counts as empty; texts without words are similar only to equal texts.
     Several rows of a key are one node.
     """
     source = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("k is not null")
@@ -204,35 +256,59 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     bands = table(map_batches(source, signed, "k long, bands array<long>").join(copies.select("k"), "k", "left_anti"))
     rows = bands.select("k", F.explode("bands").alias("b"))
     order = F.struct(F.xxhash64("k"), "k")
-    leaders = table(rows.groupBy("b").agg(F.min("k").alias("l1"), F.max("k").alias("l2"), F.min(order).alias("o")).where("l1 < l2").select("b", F.array("l1", "l2", F.col("o.k")).alias("leaders")))
+    leaders = table(rows.groupBy("b").agg(F.min("k").alias("l1"), F.max("k").alias("l2"), F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).where("l1 < l2").select("b", F.array("l1", "l2", F.col("o.k")).alias("leaders"), "n"))
     met = rows.join(leaders, "b").select("k", F.explode("leaders").alias("l")).where("k <> l").select(F.greatest("k", "l").alias("x"), F.least("k", "l").alias("y"), "k", "l")
     # of a pair that met both ways round one is kept: the one whose leader leads more
     met = met.groupBy("x", "y").agg(F.min("l").alias("l"))
     pairs = table(met.select("l", F.when(F.col("l") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("k")))
     salts = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", F.ceil(F.col("n") / MEMBERS).cast("int").alias("salts"))
-    members = pairs.join(salts, "l").select("k", "l", F.pmod(F.xxhash64("k", F.lit(11)), F.col("salts")).cast("int").alias("s"), F.lit(1).alias("kind"))
-    heads = salts.select(F.col("l").alias("k"), "l", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.lit(0).alias("kind"))
-    wanted = members.unionByName(heads).join(source.hint("merge"), "k").repartition("l", "s").sortWithinPartitions("l", "s", "kind")
+    zero = F.lit(0).alias("h")
+    members = pairs.join(salts, "l").select("k", F.col("k").alias("r"), F.col("l").alias("g"), zero, F.pmod(F.xxhash64("k", F.lit(11)), F.col("salts")).cast("int").alias("s"), F.lit(1).alias("kind"))
+    heads = salts.select(F.col("l").alias("k"), F.col("l").alias("r"), F.col("l").alias("g"), zero, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.lit(0).alias("kind"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = idf.value
-        head: tuple | None = None
-        lead: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        block = Block((), similarity)
         for batch in batches:
             for part in slices(batch, "t", 2 << 20):
-                h, w, begin = shingles(Texts(part.column(4)), own)
+                h, w, begin = shingles(Texts(part.column(6)), own)
                 a, b = [], []
-                for i, (k, l, s, kind) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)))):
+                for i, (k, r, g, head, s, kind) in enumerate(zip(*(part.column(c).to_pylist() for c in range(6)))):
                     me = (h[begin[i] : begin[i + 1]], w[begin[i] : begin[i + 1]])
+                    if block.place != (g, head, s):
+                        block = Block((g, head, s), similarity)
                     if kind == 0:
-                        head, lead = (l, s), me
-                    elif head == (l, s) and similar(lead, me) >= similarity:
+                        block.add(k, r, me)
+                        continue
+                    for other in block.links(k, r, me, kind == 1):
                         a.append(k)
-                        b.append(l)
+                        b.append(other)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = table(map_batches(wanted.select("k", "l", "s", "kind", "t"), verified, "a long, b long"))
-    roots = components(links.unionByName(copies.select(F.col("k").alias("a"), F.col("first").alias("b"))))
+    def verify(members: DataFrame, heads: DataFrame) -> DataFrame:
+        wanted = members.unionByName(heads).join(source.hint("merge"), "k").repartition("g", "h", "s").sortWithinPartitions("g", "h", "s", "kind")
+        return table(map_batches(wanted.select("k", "r", "g", "h", "s", "kind", "t"), verified, "a long, b long"))
+
+    links = verify(members, heads)
+    roots = table(components(links.unionByName(copies.select(F.col("k").alias("a"), F.col("first").alias("b")))))
+    # what the leaders left in different components of a bucket; its leaders have met all its members
+    rest = rows.join(leaders.where("n > 3"), "b").where(~F.array_contains("leaders", F.col("k"))).select("b", "k").distinct()
+    rest = table(rest.join(roots, F.col("k") == F.col("node"), "left").select("b", "k", F.coalesce("root", "k").alias("r")))
+    parts = rest.groupBy("b", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", "r")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    parts = table(parts.select("b", F.col("major.r").alias("major"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("salts"), F.ceil((F.col("n") - F.col("major.n")) / HEADS).cast("int").alias("blocks")))
+    left = rest.join(parts, "b").withColumn("minor", F.col("r") != F.col("major"))
+    # each pair of different components has a text outside the bucket's largest component: those are heads
+    members = left.select("k", "r", F.col("b").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("h"), F.pmod(F.xxhash64("k", F.lit(11)), F.col("salts")).cast("int").alias("s"), F.when(F.col("minor"), 2).otherwise(1).alias("kind"))
+    heads = left.where("minor").select("k", "r", F.col("b").alias("g"), F.pmod(F.xxhash64("k", F.lit(13)), F.col("blocks")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.lit(0).alias("kind"))
+    late = verify(members, heads)
+    if not late.isEmpty():
+        root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        joined = late.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        merged = table(components(joined))
+        # components of one text aren't in roots: their root in merged is their own row's
+        alone = merged.join(roots.select("node"), "node", "left_anti")
+        moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
     return digests.select("k").distinct().join(roots, F.col("k") == F.col("node"), "left").select(F.col("k").alias(key), F.coalesce("root", "k").alias("class_id"))
 
 

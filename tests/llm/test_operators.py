@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from tributary.llm import bpe, fingerprints, knn, langid, licenses, neardup, packing, substrings, token_counts, toxicity
+from tributary.llm import bpe, charlm, fingerprints, knn, langid, licenses, neardup, packing, substrings, token_counts, toxicity
 
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "a\n b  c", "it's  they'll '' 12x", "漢字 😀 ￿", "<|endoftext|> a<|endoftext|>", "x" * 5000, "the cat " * 900, "a b a b", "a b a b", "ß É é\r\n"]
@@ -195,6 +195,16 @@ def test_language_id(spark):
     assert got[300].lang_pred == got[301].lang_pred == "und"
 
 
+def test_models_keep_every_counted_gram(spark):
+    data = [(i, "the house and the garden " * 600, "en") for i in range(40)] + [(99, "zyx", "en")]
+    counts = charlm.count_grams(spark.createDataFrame(data, "doc_id long, text string, lang string"), "lang").cache()
+    model = charlm.fit(counts)
+    want = sorted(np.array([r.gram for r in counts.collect()], np.int64).view(np.uint64).tolist())
+    assert model.grams[3][0].tolist() == want and len(want) == len(set(want))
+    z = np.array([(1 << 48) | (1 << 32) | (1 << 16) | ord("z")], np.uint64)
+    assert model.score(z)[0, 0] > model.score(z - np.uint64(ord("z")) + np.uint64(ord("q")))[0, 0]
+
+
 def test_licenses(spark):
     texts = ["Some text.\nReleased under the MIT License.\nMore.", "This work is licensed under the GNU General Public License, version 2.", None, "nothing here", "license"]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

@@ -20,8 +20,6 @@ from tributary.llm.splitting import LETTER, class_of, code_points
 
 ORDER = 4
 BEGIN, END, FAR = 1, 2, 0xFFFF
-#: A gram or context is stored if it has this part of its model's counts at least: each array has 1/LEAST entries at most.
-LEAST = 5e-6
 
 
 def _lower() -> np.ndarray:
@@ -152,7 +150,7 @@ def fit(counts: DataFrame) -> Model:
 
     Highest order: counts less a discount over the context's count. Lower orders: the same with the number of different
     characters seen before. The discount of an order is n1/(n1+2*n2), with n1, n2 the grams counted once and twice.
-    What comes to the driver is bounded by LEAST, whatever the corpus is.
+    Every counted gram and context is stored, so the model grows with the different grams of the corpus.
     """
     table = counts.select("label", F.col("gram").alias("g"), "n")
     rows, contexts, sums = [], [], []
@@ -164,12 +162,10 @@ def fit(counts: DataFrame) -> Model:
         if len(whole) > 256:
             raise ValueError("more than 256 labels")
         sums.append(whole.assign(k=k))
-        need = F.create_map(*[x for r in whole.itertuples() for x in (F.lit(r.label), F.lit(max(1.0, LEAST * r.total)))]) if len(whole) else F.lit(None)
-        keep = F.col("n") >= (need[F.col("label")] if len(whole) else F.lit(1))
-        rows.append(table.where(keep).select("label", "g", "n").toPandas().assign(k=k))
+        rows.append(table.select("label", "g", "n").toPandas().assign(k=k))
         if k > 1:
             ctx = table.groupBy("label", F.shiftrightunsigned("g", 16).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-            contexts.append(ctx.where(keep).toPandas().assign(k=k))
+            contexts.append(ctx.toPandas().assign(k=k))
     return _assemble(pd.concat(sums), pd.concat(rows), pd.concat(contexts))
 
 

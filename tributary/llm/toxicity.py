@@ -211,7 +211,7 @@ def restore(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
 
 
 def language_model(docs: DataFrame, text: str = "text") -> Model:
-    """The character model of all documents' words. It is of one label, so its arrays are bounded however large the corpus."""
+    """The character model of all documents' words, with every gram that they have."""
     return fit(table(count_grams(docs.select(F.lit("all").alias("label"), text), "label", text)))
 
 

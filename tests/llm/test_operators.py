@@ -195,6 +195,21 @@ def test_language_id(spark):
     assert got[300].lang_pred == got[301].lang_pred == "und"
 
 
+def test_language_limits_are_of_each_label_over_all_texts(spark):
+    # the only texts of a small language that its model explains badly would be above a common limit
+    rng = np.random.default_rng(4)
+    odd = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(40))
+    data = [(i, "the house and the garden of the king", "en") for i in range(9000)] + [(9000, odd, "xx")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model, limit = langid.train(docs)
+    scored = langid.score(docs, model, limit)
+    low = {r.lang_pred: r.top for r in scored.groupBy("lang_pred").agg({"cross_entropy": "max"}).toDF("lang_pred", "top").collect()}
+    assert model.labels == ["en", "xx"] and all(abs(limit[i] / langid.SLACK - low[x]) <= 1 / langid.STEPS for i, x in enumerate(model.labels))
+    assert langid.keep(docs, model, limit).count() == 9001
+    nothing = langid.train(docs.where("doc_id < 0"))
+    assert langid.keep(docs, *nothing).count() == 9001
+
+
 def test_models_keep_every_counted_gram(spark):
     data = [(i, "the house and the garden " * 600, "en") for i in range(40)] + [(99, "zyx", "en")]
     counts = charlm.count_grams(spark.createDataFrame(data, "doc_id long, text string, lang string"), "lang").cache()

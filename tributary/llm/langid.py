@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,19 +13,18 @@ from pyspark.sql import functions as F
 from tributary.llm.charlm import Model, count_grams, distinct_words, fit, letter_words, word_scores
 from tributary.llm.runtime import Texts, map_batches, slices, table
 
-#: Labelled documents at most that the rejection is calibrated on.
-CALIBRATION_DOCS = 8192
-#: A text is rejected if its cross-entropy is above this quantile of labelled texts', times the slack.
-QUANTILE, SLACK = 0.999, 1.5
+#: A text is rejected if its cross-entropy is above this quantile of its label's texts, times the slack. Cross-entropies are
+#: counted in steps of 1/STEPS.
+QUANTILE, SLACK, STEPS = 0.999, 1.5, 1000
 #: Letters from which a text's cross-entropy says enough to reject it, and letters that count in its confidence.
 LEAST_LETTERS, CONFIDENCE_LETTERS = 24, 40
 
 
-def score(docs: DataFrame, model: Model, limit: float, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score, cross_entropy, rejected) of each whole text.
+def score(docs: DataFrame, model: Model, limit: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score, cross_entropy, rejected) of each whole text; limit has a cross-entropy for each label.
 
     lang_pred has the lowest cross-entropy a character; among equals the first label. Null texts, texts without letters and
-    an empty model give `und`, score 0, cross_entropy null and rejected. score is the share of the best model's likelihood
+    an empty model give `und`, score 0 and cross_entropy null, and all but an empty model's are rejected. score is the share of the best model's likelihood
     of the text's mean CONFIDENCE_LETTERS characters (or fewer). Repeated keys stay apart. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -39,7 +39,7 @@ def score(docs: DataFrame, model: Model, limit: float, text: str = "text", key:
     return map_batches(source, scored, "k long, lang_pred string, score double, cross_entropy double, rejected boolean").withColumnRenamed("k", key)
 
 
-def judge(own: Model, limit: float, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def judge(own: Model, limit: np.ndarray, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Label, confidence, cross-entropy and rejection of each text."""
     letters, begin, counts = letter_words(t)
     n = len(counts)
@@ -56,11 +56,13 @@ def judge(own: Model, limit: float, t: Texts) -> tuple[np.ndarray, np.ndarray, n
         best[some], low[some] = b, h[np.arange(len(b)), b]
         gap = (h - h.min(axis=1)[:, None]) * np.minimum(size[some], CONFIDENCE_LETTERS)[:, None]
         conf[some] = 1 / np.exp(-gap).sum(axis=1)
-    rejected = (best == len(own.labels)) | ((size >= LEAST_LETTERS) & (np.nan_to_num(low) > limit))
+    rejected = (best == len(own.labels)) | ((size >= LEAST_LETTERS) & (np.nan_to_num(low) > np.append(limit, np.inf)[best]))
+    if not own.labels:
+        rejected[:] = False
     return np.array([*own.labels, "und"], object)[best], conf, low, rejected
 
 
-def keep(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: Model, limit: np.ndarray, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that aren't rejected. No shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -73,17 +75,36 @@ def keep(docs: DataFrame, model: Model, limit: float, text: str = "text") -> Dat
     return map_batches(docs, kept, docs.schema)
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> tuple[Model, float]:
-    """Models of all labels, counted over all labelled texts, and the cross-entropy above which a text is rejected.
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> tuple[Model, np.ndarray]:
+    """Models of all labels, counted over all labelled texts, and for each label the cross-entropy above which a text is rejected.
 
-    The limit comes from a sample of CALIBRATION_DOCS labelled texts at most, chosen by a hash of their keys.
+    A label's limit is a quantile of all its texts with letters. They are counted by rounded cross-entropy in each task, so the
+    driver gets a row for each label and step, however many texts there are.
     """
     own = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     model = fit(table(count_grams(own, lang, text)))
-    n = own.count()
-    part = own.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("calibration")), F.lit(1 << 20)) < F.lit(int(min(1.0, CALIBRATION_DOCS / max(n, 1)) * (1 << 20))))
-    found = score(part, model, float("inf"), text, key).where("cross_entropy is not null").agg(F.expr(f"percentile(cross_entropy, {QUANTILE})")).first()[0]
-    return model, (found if found is not None else float("inf")) * SLACK
+    limit = np.full(len(model.labels), np.inf)
+    sent = own.sparkSession.sparkContext.broadcast(model)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        none = np.full(len(sent.value.labels), np.inf)
+        for batch in batches:
+            for part in slices(batch, "t"):
+                low = judge(sent.value, none, Texts(part.column(1)))[2]
+                some = ~np.isnan(low)
+                held.update(zip(np.array(part.column(0).to_pylist(), object)[some].tolist(), np.ceil(low[some] * STEPS).astype(np.int64).tolist()))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([x for _, x in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["l", "step", "n"])
+
+    source = own.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
+    steps = map_batches(source, counted, "l string, step long, n long").groupBy("l", "step").agg(F.sum("n").alias("n")).toPandas()
+    for i, x in enumerate(model.labels):
+        own_steps = steps[steps.l == x].sort_values("step")
+        if len(own_steps):
+            n = own_steps.n.to_numpy(np.int64).cumsum()
+            limit[i] = own_steps.step.to_numpy(np.int64)[np.searchsorted(n, QUANTILE * n[-1])] / STEPS * SLACK
+    return model, limit
 
 
 def fold(key: str, folds: int) -> Column:

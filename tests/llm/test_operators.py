@@ -178,6 +178,19 @@ def test_toxicity_restores(spark):
     assert toxicity.classify(df, labels).count() == 41
 
 
+def test_toxicity_restores_ordinary_disguises(spark):
+    said = "you are an idiot and a stupid moron loser asshole ass sob shit loo "
+    own = toxicity.Restorer(toxicity.language_model(spark.createDataFrame([(i, said * 3) for i in range(40)], "doc_id long, text string")))
+    pairs = [("455hole", "asshole"), ("a55", "ass"), ("4$$", "ass"), ("1053r", "loser"), ("50b", "sob"), ("l00", "loo"), ("sh17", "shit"), ("stuupid", "stupid"), ("@ s s", "ass")]
+    pairs += [("$ t u p i d", "stupid"), ("i . d . i . o . t", "idiot"), ("1 d 1 0 t", "idiot"), ("m\no\nr\no\nn", "moron"), ("s.t.u.p.i.d", "stupid")]
+    letters, begin, owner = toxicity.restored_words(toxicity.Texts(pa.array([None, *(f"once {x} upon" for x, _ in pairs), "in 455 of 1984"])), own)
+    got = {}
+    for a, b, d in zip(begin, begin[1:], owner):
+        got.setdefault(int(d), []).append(letters[a:b].tobytes().decode("utf-16-le"))
+    assert {x: got[i + 1] for i, (x, w) in enumerate(pairs) if w not in got[i + 1]} == {}
+    assert got[len(pairs) + 1] == ["in", "of"]
+
+
 def test_logistic_reaches_the_minimum_on_separable_classes():
     rng = np.random.default_rng(2)
     for n, t in ((4000, 400), (4500, 60), (500, 500)):

@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from tributary.llm.charlm import BEGIN, END, FAR, Model, count_grams, distinct_words, fit, letter_words
 from tributary.llm.langid import fold
-from tributary.llm.runtime import Texts, map_batches, ragged, slices, table
-from tributary.llm.splitting import LETTER, class_of, code_points, mix, word_hashes
+from tributary.llm.runtime import Texts, binary_array, map_batches, ragged, slices, table
+from tributary.llm.splitting import blank_words, mix, word_hashes
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = ".-_*~'’·"
 #: The channel's log-probabilities: a letter for a sign, a separator inside a word, a sign that is none, a run of letters cut to
-#: one or two, and a blank inside a spaced word.
-SIGN, SEPARATED, NONE, CUT, BLANK = -1.0, -0.7, -3.0, -0.5, -0.2
+#: one or two, a double letter cut to one, and a blank inside a spaced word.
+SIGN, SEPARATED, NONE, CUT, HALVED, BLANK = -1.0, -0.7, -3.0, -0.5, -3.0, -0.2
 #: Labelled documents at most that the classifier is fitted on, by label.
 POSITIVE_DOCS, NEGATIVE_DOCS = 8_000, 16_000
 #: A feature counts if so many positive documents have it.
@@ -34,9 +34,17 @@ LEAST_DOCS = 3
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 
-_SPACED = re.compile(r"(?<!\S)\w(?:[ \t]+\w){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _MARKS = "".join(map(re.escape, LEET))
-_TOKEN = re.compile(rf"[^\W\d_][{_MARKS}{re.escape(SEPARATORS)}]+[^\W\d_]|(?:^|(?<=\s))[{_MARKS}][^\W\d_]|[^\W\d_][{re.escape('0134578@$')}](?:\W*$)|([^\W\d_])\1\1", re.I)
+#: What gives a token's lattice a choice: a sign, a separator between letters, a double letter.
+_TOKEN = re.compile(rf"[{_MARKS}]|[^\W\d_][{re.escape(SEPARATORS)}]+[^\W\d_]|([^\W\d_])\1", re.I)
+_WORD = re.compile(r"[^\W\d_]+")
+_OTHER_SIGNS = frozenset(c for c in LEET if not c.isdigit())
+
+
+def disguised(token: str) -> bool:
+    """Whether a token can stand for other words than its letters. Digits alone are a number."""
+    return bool(_TOKEN.search(token)) and (any(c.isalpha() for c in token) or sum(c in LEET for c in token) > 1 and not _OTHER_SIGNS.isdisjoint(token))
 
 
 class Restorer:
@@ -66,6 +74,11 @@ class Restorer:
             got = self._done[token] = self._decode(_lattice(token))
         return got
 
+    def others(self, token: str) -> list[str]:
+        """The words that a token stands for, if they aren't those of its letters."""
+        said = self.words(token) if disguised(token) else []
+        return said if said != _WORD.findall(token.lower()) else []
+
     def _decode(self, steps: list[list[tuple[str, float]]]) -> list[str]:
         """Each step has ways of (letters, cost); a blank among the letters ends a word."""
         start = (BEGIN << 32) | (BEGIN << 16) | BEGIN
@@ -113,67 +126,81 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             steps.append([("", SEPARATED), (" ", NONE)] if c in SEPARATORS and inside else [(" ", 0.0)])
         elif run > 2:
             steps.append([(c, CUT), (c * 2, CUT), (c * run, 0.0)])
+        elif run == 2:
+            steps.append([(c * 2, 0.0), (c, HALVED)])
         else:
-            steps.append([(c * run, 0.0)])
+            steps.append([(c, 0.0)])
         i += run
     return steps
 
 
 def suspects(text: str) -> list[tuple[int, int]]:
-    """Where a text has tokens that may be disguised: spaced groups first, then tokens with signs or long runs."""
+    """Where a text has tokens that may be disguised: spaced groups first, then tokens with signs, separators or double letters."""
     found = [m.span() for m in _SPACED.finditer(text) if any(c.isalpha() for c in m[0])]
     held = found[:]
     for m in re.finditer(r"\S+", text):
-        if _TOKEN.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in held):
+        if disguised(m[0]) and not any(a < m.end() and m.start() < b for a, b in held):
             found.append(m.span())
     return sorted(found)
 
 
-def _doubtful(t: Texts) -> np.ndarray:
-    """Documents that may have suspects, found for all at once."""
-    cps, _, first = code_points(t)
-    n = len(cps)
-    if n < 2:
-        return np.zeros(0, np.int64)
-    letter = class_of(cps) == LETTER
-    sign = np.isin(cps, [ord(c) for c in "".join(LEET) + SEPARATORS])
-    hit = np.zeros(n, bool)
-    hit[1:] |= sign[1:] & letter[:-1]
-    hit[:-1] |= sign[:-1] & letter[1:]
-    hit[2:] |= letter[2:] & (cps[2:] == cps[1:-1]) & (cps[1:-1] == cps[:-2])
-    # full stops and the like at a word's end are no signs of disguise
-    plain = np.isin(cps, [ord(c) for c in ".!'-("])
-    after = np.ones(n, bool)
-    after[:-1] = letter[1:]
-    hit &= ~plain | after
-    gap = (cps == 32) | (cps == 9)
-    lone = letter.copy()
-    lone[1:] &= gap[:-1]
-    lone[:-1] &= gap[1:]
-    hit[4:] |= lone[4:] & lone[2:-2] & lone[:-4]
-    at = np.flatnonzero(hit)
-    return np.unique(np.searchsorted(first, at, side="right") - 1)
+def _candidates(t: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens and spaced groups that may be disguised, and the place among them and the document of each occurrence."""
+    begin, end, counts = blank_words(t)
+    if not len(begin):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(t.n), counts)
+    low = t.data | np.uint8(32)
+    odd = t.data >= 128
+    odd |= np.isin(t.data, [ord(c) for c in "".join(LEET) + SEPARATORS if ord(c) < 128])
+    odd[1:] |= (low[1:] == low[:-1]) & (low[1:] >= 97) & (low[1:] <= 122)
+    upto = np.append(0, np.cumsum(odd))
+    own = np.flatnonzero((upto[end] > upto[begin]) & (end - begin > 1))
+    size = (end - begin)[own]
+    words = binary_array(t.data[ragged(begin[own], size)], np.append(0, np.cumsum(size))).dictionary_encode()
+    tokens = [x.decode() for x in words.dictionary.to_pylist()]
+    lead = t.data[begin]
+    single = end - begin == np.where(lead < 128, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+    starts = single.copy()
+    starts[1:] &= ~single[:-1] | (doc[1:] != doc[:-1])
+    group, places, docs = np.cumsum(starts)[single], words.indices.to_numpy().tolist(), doc[own].tolist()
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    lone = np.flatnonzero(single)
+    for i, n in zip(first.tolist(), np.diff(np.append(first, len(group))).tolist()):
+        if n > 2:
+            said = " ".join(t.data[begin[j] : end[j]].tobytes().decode() for j in lone[i : i + n].tolist())
+            if any(c.isalpha() for c in said):
+                places.append(len(tokens))
+                docs.append(int(doc[lone[i]]))
+                tokens.append(said)
+    return tokens, np.array(places, np.int64), np.array(docs, np.int64)
 
 
 def restored_words(t: Texts, restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """letter_words of the texts and of what their suspects stand for; the third is each word's document, in no order."""
     letters, begin, counts = letter_words(t)
     owner = np.repeat(np.arange(t.n), counts)
-    more: list[str] = []
-    at: list[int] = []
-    for d in _doubtful(t).tolist():
-        text = t.bytes_of(d).decode()
-        for a, b in suspects(text):
-            for w in restorer.words(text[a:b]):
-                more.append(w)
-                at.append(d)
+    tokens, place, doc = _candidates(t)
+    found = [restorer.words(x) if " " in x else [w for y in x.split() for w in restorer.others(y)] for x in tokens]
+    more = [w for x in found for w in x]
     if more:
-        extra = np.frombuffer("".join("".join(c if ord(c) < FAR else chr(FAR) for c in w) for w in more).encode("utf-16-le"), np.uint16)
-        begin = np.append(begin, begin[-1] + np.cumsum([len(w) for w in more]))
-        letters, owner = np.append(letters, extra), np.append(owner, at)
+        extra = np.frombuffer("".join("".join(c if ord(c) < FAR else chr(FAR) for c in w) for w in more).encode("utf-16-le", "surrogatepass"), np.uint16)
+        size = np.array([len(w) for w in more])
+        many = np.array([len(x) for x in found])
+        word = ragged((np.cumsum(many) - many)[place], many[place])
+        begin = np.append(begin, begin[-1] + np.cumsum(size[word]))
+        letters = np.append(letters, extra[ragged((np.cumsum(size) - size)[word], size[word])])
+        owner = np.append(owner, np.repeat(doc, many[place]))
     return letters, begin, owner
 
 
+def restorer_of(model: Model) -> Restorer:
+    """The model's restorer, which a worker keeps with the model from task to task."""
+    if not hasattr(model, "restorer"):
+        model.restorer = Restorer(model)
+    return model.restorer
+
+
 def word_features(letters: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words and their beginnings, and the word that each belongs to."""
     n = len(begin) - 1
@@ -250,7 +277,7 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 
 def _feature_counts(rows: DataFrame, model) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.value)
+        restorer = restorer_of(model.value)
         held: list = []
         for batch in batches:
             for part in slices(batch, "t"):
@@ -284,7 +311,7 @@ def _feature_counts(rows: DataFrame, model) -> DataFrame:
 
 def _inputs(rows: DataFrame, found, model) -> pd.DataFrame:
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.value)
+        restorer = restorer_of(model.value)
         for batch in batches:
             for part in slices(batch, "t"):
                 x = found.value.inputs(Texts(part.column(1)), restorer)
@@ -353,7 +380,7 @@ def score(docs: DataFrame, found: Classifier, model: Model, text: str = "text",
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        restorer = Restorer(lm.value)
+        restorer = restorer_of(lm.value)
         for batch in batches:
             for part in slices(batch, "t"):
                 s = own.score(own.inputs(Texts(part.column(1)), restorer))
@@ -375,7 +402,7 @@ def keep(docs: DataFrame, found: Classifier, model: Model, text: str = "text") -
     sent, lm = spark.sparkContext.broadcast(found), spark.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, restorer = sent.value, Restorer(lm.value)
+        own, restorer = sent.value, restorer_of(lm.value)
         for batch in batches:
             for part in slices(batch, text):
                 s = own.score(own.inputs(Texts(part.column(part.schema.get_field_index(text))), restorer))

@@ -57,32 +57,6 @@ def test_packing_is_gapless_and_whole(docs):
     assert len(set(bins.tolist())) == 3
 
 
-def brute_repeats(texts, n):
-    first, out = {}, []
-    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
-    for d, w in enumerate(words):
-        for i in range(len(w) - n + 1):
-            first.setdefault(tuple(w[i : i + n]), d)
-    for d, w in enumerate(words):
-        gone = set()
-        for i in range(len(w) - n + 1):
-            if first[tuple(w[i : i + n])] < d:
-                gone |= set(range(i, i + n))
-        out.append([x for i, x in enumerate(w) if i not in gone])
-    return words, out
-
-
-def test_substrings_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    base = [" ".join(rng.choice(list("abcdefgh"), 60)) for _ in range(12)]
-    texts = [*base, *[base[i][: 40 + i] + "  " + base[(i * 5) % 12][20:90] for i in range(12)], base[0], None, "", "a " * 300, "a " * 200]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words, kept = brute_repeats(texts, 13)
-    for r in substrings.dedup(df).collect():
-        assert (r.n_words, r.kept) == (len(words[r.doc_id]), " ".join(kept[r.doc_id]))
-    assert substrings.cut(df).columns == df.columns and substrings.dedup(df.limit(0)).count() == 0
-
-
 def test_near_copies_share_a_class(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -37,32 +41,72 @@ def ship(spark: SparkSession) -> None:
     if path in sys.path:  # the driver keeps its own copy first
         sys.path.remove(path)
         sys.path.append(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     sc._tributary_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or one of our own where none is set."""
+    """The folder that driver and executors share: the cluster's, or in local mode one of our own where none is set.
+
+    On a cluster without spark.checkpoint.dir this raises, as executors would write to disks that nobody else sees.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = getattr(sc, "_tributary_dir", None)
         if not d:
-            d = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="tributary-checkpoint-"))
-            sc._tributary_dir = d
+            own = os.path.realpath(tempfile.mkdtemp(prefix="tributary-checkpoint-"))
+            atexit.register(shutil.rmtree, own, True)
+            d = sc._tributary_dir = f"file://{own}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(d)
     return d
 
 
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path of its own in the shared folder, which goes when the driver's JVM ends in order."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation.
 
-    Files go when the session ends with the folder; they are compressed with zstandard.
+    Files are compressed with zstandard. They go with drop_tables, or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tributary_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes what table() wrote, and lets go of the shuffle files of queries that are done. No query may need them any more."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        remove_path(spark, t._tributary_path)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished queries: it does so when the driver collects its garbage."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # a hint only
+        spark.sparkContext._jvm.System.gc()
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: object) -> DataFrame:

@@ -57,58 +57,6 @@ def test_packing_is_gapless_and_whole(docs):
     assert len(set(bins.tolist())) == 3
 
 
-def test_near_copies_share_a_class(spark):
-    rng = np.random.default_rng(5)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    base = [[word() for _ in range(120)] for _ in range(6)]
-    texts = [" ".join(b) for b in base]
-    for b in base[:3]:
-        for at in (10, 60):
-            c = list(b)
-            c[at] = word()
-            texts.append(" ".join(c))
-    texts += [texts[0], None, "", "one two"]
-    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(16)] == [0, 1, 2, 3, 4, 5, 0, 0, 1, 1, 2, 2, 0, 13, 13, 15]
-
-
-def test_near_copies_of_a_middle_key_share_a_class(spark):
-    # copies are like the original, which leads no bucket, but not like each other
-    rng = np.random.default_rng(7)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    base = [word() for _ in range(120)]
-    texts = []
-    for _ in range(51):
-        c = list(base)
-        for at in rng.choice(120, 2, replace=False):
-            c[at] = word()
-        texts.append(" ".join(c))
-    texts[25] = " ".join(base)
-    others = [f"w{i}" for i in range(3000)]  # so that the copies' words are not in most documents
-    df = {}
-    for x in (y for t in texts for y in set(t.split())):
-        df[x] = df.get(x, 0) + 1
-    seen = sorted((int(neardup.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0]), n) for x, n in df.items() if n >= neardup.RARE * 3051)
-    idf = neardup.Idf(np.array([x for x, _ in seen], np.uint64), np.log(3051 / np.array([n for _, n in seen])).astype(np.float32))
-    h, w, begin = neardup.shingles(neardup.Texts(pa.array(texts)), idf)
-    own = [(h[a:b], w[a:b]) for a, b in zip(begin, begin[1:])]
-    root = list(range(51))
-    for _ in root:
-        for i in range(51):
-            for j in range(i):
-                if neardup.similar(own[i], own[j]) >= 0.8:
-                    root[i] = root[j] = min(root[i], root[j])
-    assert sum(r == root[25] for r in root) > 40
-    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(51)] == root and all(got[i] == i for i in range(51, 3051))
-
-
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (200, 200)]
-    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(31)) and got[102] == 100
-
-
 def test_fingerprints(spark):
     texts = ["abc. " * 30, "abc. " * 30, None, "", "Some line.\nOther line, longer.\n\nNew section here.", "z"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

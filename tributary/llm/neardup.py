@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.runtime import Texts, kept, map_batches, ragged, slices, table
+from tributary.llm.runtime import Texts, drop_tables, kept, map_batches, ragged, release, slices, table
 from tributary.llm.splitting import blank_words, gram_hashes, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8, one in 5,000 pairs meets in no band; at 0.85, one in 150,000.
 BANDS, ROWS = 16, 4
-#: Words in fewer than this part of the documents count as rare as those in it: a table of others has at most the mean number of
-#: different words in a document, divided by it, however many documents there are.
+#: A word's idf is ln(documents / documents with it), at most ln(1 / RARE). So a table of those below that has at most the mean
+#: number of different words in a document, divided by RARE, however many documents there are.
 RARE = 1e-3
 #: Members that one verifying task compares with a leader, and texts that take a leader's part in a task of the second pass.
 MEMBERS, HEADS = 256, 64
@@ -110,7 +110,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, begin: np.ndarray, bands
 
 
 def document_frequencies(source: DataFrame, n: int) -> DataFrame:
-    """(h, df) of words in at least RARE of the n documents."""
+    """(h, df) of words in at least RARE of the n documents: the others' idf is the greatest there is."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -141,7 +141,7 @@ def document_frequencies(source: DataFrame, n: int) -> DataFrame:
             for a in range(0, len(u), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 200_000].view(np.int64)), pa.array(c[a : a + 200_000])], ["h", "df"])
 
-    return map_batches(source, counted, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= F.lit(max(2.0, RARE * n)))
+    return map_batches(source, counted, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= F.lit(RARE * n))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,35 +225,45 @@ class Block:
         return out
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, class_id): documents linked by a chain of texts with weighted Jaccard similarity of at least `similarity` share
-    the smallest key among them.
+def _identity(docs: DataFrame, text: str, key: str) -> list[Column]:
+    """k, the key; d1 and d2, 124 bits of hashes that stand for the text; and t, the text (null: empty)."""
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
+    return [docs[key].cast("long").alias("k"), F.xxhash64(t).alias("d1"), F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long").alias("d2"), t.alias("t")]
+
+
+def text_classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Two tables: (k, d1, d2) of all rows with a key, and (d1, d2, first, class_id, leads) of all different texts.
 
-    Equal texts are one text with its smallest key. Texts meet in a band; there each is first compared with the bucket's leaders
-    (its smallest key, its largest, and one by a hash), which joins a group at the cost of its members and not of their pairs.
+    Texts linked by a chain of texts with weighted Jaccard similarity of at least `similarity` are a class. first is the
+    text's smallest key, class_id the class's, and one text of a class leads it: of those with that key, the one with the least hash.
+
+    A text is one node, however many rows have it. Texts meet in a band; there each is first compared with the bucket's leaders
+    (its smallest node, its largest, and one by a hash), which joins a group at the cost of its members and not of their pairs.
     Then all pairs of a bucket that are still in different components are compared, so no link between texts that share a band
-    is left out. Comparisons are of the whole texts. Null keys take no part. A null text counts as empty; texts without words are similar only to equal texts.
-    Several rows of a key are one node.
+    is left out. Comparisons are of the whole texts. Null keys take no part. A null text counts as empty; texts without words
+    are similar only to equal texts.
     """
-    source = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where("k is not null")
-    digests = table(source.select("k", F.xxhash64("t").alias("d1"), F.conv(F.substring(F.md5("t"), 1, 15), 16, 10).cast("long").alias("d2")))
+    spark = docs.sparkSession
+    source = docs.select(*_identity(docs, text, key)).where("k is not null")
+    digests = table(source.select("k", "d1", "d2"))
     n = digests.count()
-    firsts = table(digests.groupBy("d1", "d2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies")))
-    copies = table(digests.join(firsts.where("copies > 1"), ["d1", "d2"]).where("k <> first").select("k", "first").distinct())
-    frequent = document_frequencies(source, n).toPandas()
+    # numbers are fixed once they are written; a key can't be the node, as its rows may have different texts
+    nodes = table(digests.groupBy("d1", "d2").agg(F.min("k").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    frequent = document_frequencies(source.select("k", "t"), n).toPandas()
     frequent = frequent.assign(h=frequent.h.to_numpy(np.int64).view(np.uint64)).sort_values("h")
-    idf = source.sparkSession.sparkContext.broadcast(Idf(frequent.h.to_numpy(np.uint64), np.log(n / frequent.df.to_numpy(float)).astype(np.float32)))
+    idf = spark.sparkContext.broadcast(Idf(frequent.h.to_numpy(np.uint64), np.log(n / frequent.df.to_numpy(float)).astype(np.float32)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = idf.value
         for batch in batches:
             for part in slices(batch, "t", 2 << 20):
-                h, w, begin = shingles(Texts(part.column(1)), own)
+                h, w, begin = shingles(Texts(part.column(3)), own)
                 sig = signatures(h, w, begin)
-                some = np.flatnonzero(np.diff(begin) > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))], ["k", "bands"])
+                some = pa.array(np.flatnonzero(np.diff(begin) > 0))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(some) for i in range(3)), pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))], ["k", "d1", "d2", "bands"])
 
-    bands = table(map_batches(source, signed, "k long, bands array<long>").join(copies.select("k"), "k", "left_anti"))
+    bands = map_batches(source, signed, "k long, d1 long, d2 long, bands array<long>").join(nodes, ["d1", "d2"]).where("k = first")
+    bands = table(bands.select(F.col("node").alias("k"), "bands"))
     rows = bands.select("k", F.explode("bands").alias("b"))
     order = F.struct(F.xxhash64("k"), "k")
     leaders = table(rows.groupBy("b").agg(F.min("k").alias("l1"), F.max("k").alias("l2"), F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).where("l1 < l2").select("b", F.array("l1", "l2", F.col("o.k")).alias("leaders"), "n"))
@@ -261,6 +271,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     # of a pair that met both ways round one is kept: the one whose leader leads more
     met = met.groupBy("x", "y").agg(F.min("l").alias("l"))
     pairs = table(met.select("l", F.when(F.col("l") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("k")))
+    release(spark)
     salts = pairs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", F.ceil(F.col("n") / MEMBERS).cast("int").alias("salts"))
     zero = F.lit(0).alias("h")
     members = pairs.join(salts, "l").select("k", F.col("k").alias("r"), F.col("l").alias("g"), zero, F.pmod(F.xxhash64("k", F.lit(11)), F.col("salts")).cast("int").alias("s"), F.lit(1).alias("kind"))
@@ -286,11 +297,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def verify(members: DataFrame, heads: DataFrame) -> DataFrame:
-        wanted = members.unionByName(heads).join(source.hint("merge"), "k").repartition("g", "h", "s").sortWithinPartitions("g", "h", "s", "kind")
-        return table(map_batches(wanted.select("k", "r", "g", "h", "s", "kind", "t"), verified, "a long, b long"))
+        given = members.unionByName(heads).join(nodes.withColumnRenamed("node", "k"), "k").withColumnRenamed("k", "node")
+        wanted = given.join(source.withColumnRenamed("k", "first").hint("merge"), ["d1", "d2", "first"]).repartition("g", "h", "s").sortWithinPartitions("g", "h", "s", "kind")
+        return table(map_batches(wanted.select(F.col("node").alias("k"), "r", "g", "h", "s", "kind", "t"), verified, "a long, b long"))
 
     links = verify(members, heads)
-    roots = table(components(links.unionByName(copies.select(F.col("k").alias("a"), F.col("first").alias("b")))))
+    release(spark)
+    roots = table(components(links))
     # what the leaders left in different components of a bucket; its leaders have met all its members
     rest = rows.join(leaders.where("n > 3"), "b").where(~F.array_contains("leaders", F.col("k"))).select("b", "k").distinct()
     rest = table(rest.join(roots, F.col("k") == F.col("node"), "left").select("b", "k", F.coalesce("root", "k").alias("r")))
@@ -300,6 +313,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     # each pair of different components has a text outside the bucket's largest component: those are heads
     members = left.select("k", "r", F.col("b").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("h"), F.pmod(F.xxhash64("k", F.lit(11)), F.col("salts")).cast("int").alias("s"), F.when(F.col("minor"), 2).otherwise(1).alias("kind"))
     heads = left.where("minor").select("k", "r", F.col("b").alias("g"), F.pmod(F.xxhash64("k", F.lit(13)), F.col("blocks")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.lit(0).alias("kind"))
+    release(spark)
     late = verify(members, heads)
     if not late.isEmpty():
         root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
@@ -309,7 +323,41 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
         alone = merged.join(roots.select("node"), "node", "left_anti")
         moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
-    return digests.select("k").distinct().join(roots, F.col("k") == F.col("node"), "left").select(F.col("k").alias(key), F.coalesce("root", "k").alias("class_id"))
+    rooted = nodes.join(roots, "node", "left")
+    least = F.struct("first", "d1", "d2")
+    labels = rooted.where("root is not null").groupBy("root").agg(F.min(least).alias("least"))
+    found = rooted.join(labels, "root", "left").select("d1", "d2", "first", F.coalesce("least.first", "first").alias("class_id"), F.coalesce(F.col("least") == least, F.lit(True)).alias("leads"))
+    found = table(found)
+    drop_tables(nodes, bands, leaders, pairs, links, rest, parts, late)
+    return digests, found
+
 
+def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, class_id): one row for each row of docs with a key; class_id is the smallest key of the class (see text_classes).
 
-__all__ = ["Idf", "classes", "components", "shingles", "signatures", "similar"]
+    Equal rows have equal classes; rows of one key with different texts may be in different ones, and then
+    two classes may have one class_id. Copies are rows, not pairs. An empty table has no rows.
+    """
+    digests, found = text_classes(docs, similarity, text, key)
+    return digests.join(found, ["d1", "d2"]).select(F.col("k").alias(key), "class_id")
+
+
+def keep(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of docs, all columns, of each class: one with the smallest key, and every row without a key.
+
+    Of equal keys with different texts in a class, and of rows with equal keys and texts, one stays. Columns may have any names.
+    """
+    digests, found = text_classes(docs, similarity, text, key)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = docs.select(*_identity(docs, text, key)[:3], *[docs[c].alias(x) for c, x in zip(docs.columns, names)])
+    on = ["k", "d1", "d2"]
+    counted = digests.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).join(found, ["d1", "d2"])
+    counted = table(counted.select(*on, "n", (F.col("leads") & (F.col("k") == F.col("first"))).alias("stays")))
+    single = numbered.join(counted.where("not stays or n > 1").select(*on), on, "left_anti")
+    # rows that are there several times with key and text: rare, so their table is small
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0)))
+    several = numbered.join(counted.where("stays and n > 1").select(*on), on).withColumn("place", place).where("place = 1")
+    return single.select(*names).unionAll(several.select(*names)).toDF(*docs.columns)
+
+
+__all__ = ["Idf", "classes", "components", "keep", "shingles", "signatures", "similar", "text_classes"]

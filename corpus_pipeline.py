@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import langid, neardup, packing, substrings, toxicity
-from tributary.llm.runtime import shared_dir
+from tributary.llm.runtime import new_path, remove_path
 
-#: No stage's rows can be had by SQL: tests hold them against brute force.
+#: No stage's rows can be had by SQL; tests/llm/test_pipeline.py holds run() and its stages against plain Python.
 ORACLE_SQL = None
 
 
@@ -30,9 +28,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class stays, and every row without doc_id."""
-    others = neardup.classes(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row with the smallest doc_id of each class stays, and every row without doc_id."""
+    return neardup.keep(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +46,20 @@ STAGES = [("toxicity", drop_toxic), ("language ID", keep_known_languages), ("nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each but the last is written to the shared folder and read again."""
+    """All stages over the documents of sf_dir; each but the last is written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one's are written; the last stage's input goes when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{i}")
-            docs = spark.read.parquet(f"{base}/{i}")
+            path = new_path(spark, "stage")
+            docs.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove_path(spark, before)
+            before = path
     return docs
 
 

@@ -41,22 +41,6 @@ def test_token_counts_at_every_prefix(docs):
         assert model.inner_counts(w.encode())[1:] == [len(model.model.encode(w[:i])) for i in range(1, len(w) + 1)]
 
 
-def test_packing_is_gapless_and_whole(docs):
-    rows = packing.pack_documents(docs, BYTE, 64).collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for own in by.values():
-        at = 0
-        for o, n in sorted(own):
-            assert o == at
-            at += n
-        assert at <= 64
-    assert {r.doc_id for r in rows} == set(range(len(TEXTS)))
-    bins, _ = packing.place(np.array([5, 5, 5, 5, 10]), 10)
-    assert len(set(bins.tolist())) == 3
-
-
 def test_fingerprints(spark):
     texts = ["abc. " * 30, "abc. " * 30, None, "", "Some line.\nOther line, longer.\n\nNew section here.", "z"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.llm.bpe import slice_ids, vocabulary
 from tributary.llm.runtime import map_batches, ship, slices, table
@@ -50,8 +51,9 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, text:
 
 
 def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin and the offset of each item, longest first, each put where the sum over gaps g in 1..size-1 of squared
-    counts of open bins with gap g is smallest; among equals the smallest gap, and an open bin before a new one."""
+    """The bin and the offset of each item, longest first, each put into the open bin that makes the sum over gaps g in
+    1..size-1 of squared counts of open bins with gap g smallest; among equals the one with the smallest gap, and of those the
+    last opened or filled. A new bin is opened only where no open one has room: with few items the rule's own choice of new ones costs bins."""
     order = np.argsort(-lengths, kind="stable")
     count = np.zeros(size + 1, np.int64)  # open bins by gap; a full bin and an empty one cost nothing
     open_: list[list[int]] = [[] for _ in range(size + 1)]
@@ -60,14 +62,10 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     for i in order:
         s = int(lengths[i])
         gaps = s + np.flatnonzero(count[s:size])
-        best, value = 0, 2 * int(count[size - s]) + 1 if s < size else 0
         if len(gaps):
             left = gaps - s
             change = 2 - 2 * count[gaps] + np.where(left > 0, 2 * count[left], -1)
-            j = int(np.argmin(change))
-            if change[j] <= value:
-                best = int(gaps[j])
-        if best:
+            best = int(gaps[np.argmin(change)])
             b = open_[best].pop()
             count[best] -= 1
         else:
@@ -85,26 +83,37 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(parts: DataFrame, size: int = 2048, length: str = "length") -> DataFrame:
     """parts with sequence_id and offset: its rows packed into sequences of at most size, each gapless from 0.
 
-    Rows are dealt to packers of about SHARD_PIECES by a hash, so no packer grows with the input; parts should be a
-    written table, as it is counted first. A length below 1 or above size raises. An empty table stays empty.
+    Rows are dealt to packers of about SHARD_PIECES by a hash, so no packer grows with the input. What lies in sequences that
+    they leave unfilled is dealt out and packed once more. parts should be a written table, as it is counted first; the packed
+    rows are written before they are split. A length below 1, above size or null raises. An empty table stays empty; equal rows
+    are packed each. Other columns may have any names but sequence_id and offset.
     """
-    if {"sequence_id", "offset", "shard"} & set(parts.columns):
-        raise ValueError("sequence_id, offset and shard are names of this operator")
+    if {"sequence_id", "offset"} & set(parts.columns):
+        raise ValueError("sequence_id and offset are names of this operator")
     ship(parts.sparkSession)
-    shards = max(1, round(parts.count() / SHARD_PIECES))
-    names = parts.columns
-
-    def placed(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([c for c in ("doc_id", "piece") if c in names] or [length], kind="stable")
-        n = own[length].to_numpy()
-        if len(n) and (n.min() < 1 or n.max() > size):
-            raise ValueError("a length is out of range")
-        bins, offsets = place(n, size)
-        return own.assign(sequence_id=(own["shard"].to_numpy().astype(np.int64) << 32) + bins, offset=offsets)[[*names, "sequence_id", "offset"]]
-
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(*[F.col(c) for c in names if c in ("doc_id", "piece")] or [F.col(length)]), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(placed, schema)
+    names = [f"c{i}" for i in range(len(parts.columns))]
+    own = parts.toDF(*names)
+    n = names[parts.columns.index(length)]
+    keys = [names[parts.columns.index(c)] for c in ("doc_id", "piece") if c in parts.columns] or [n]
+
+    def packed(rows: DataFrame, salt: int, base: int) -> DataFrame:
+        shards = max(1, round(rows.count() / SHARD_PIECES))
+
+        def placed(shard: pd.DataFrame) -> pd.DataFrame:
+            shard = shard.sort_values(keys, kind="stable")
+            lengths = shard[n].to_numpy()
+            if shard[n].isna().any() or lengths.min() < 1 or lengths.max() > size:
+                raise ValueError("a length is out of range")
+            bins, offsets = place(lengths.astype(np.int64), size)
+            full = np.bincount(bins, lengths)[bins] == size
+            return shard.assign(sequence=((base + shard["shard"].to_numpy().astype(np.int64)) << 32) + bins, at=offsets, full=full)[[*names, "sequence", "at", "full"]]
+
+        schema = T.StructType([*own.schema.fields, *(T.StructField(c, k) for c, k in (("sequence", T.LongType()), ("at", T.LongType()), ("full", T.BooleanType())))])
+        return rows.withColumn("shard", F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(placed, schema)
+
+    first = table(packed(own, 0, 0))
+    out = first.where("full").unionByName(packed(first.where("not full").select(*names), 1, 1 << 30)).drop("full")
+    return out.toDF(*parts.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:

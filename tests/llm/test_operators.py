@@ -41,19 +41,6 @@ def test_token_counts_at_every_prefix(docs):
         assert model.inner_counts(w.encode())[1:] == [len(model.model.encode(w[:i])) for i in range(1, len(w) + 1)]
 
 
-def test_fingerprints(spark):
-    texts = ["abc. " * 30, "abc. " * 30, None, "", "Some line.\nOther line, longer.\n\nNew section here.", "z"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in fingerprints.compare_edited(df).collect()}
-    for i, t in enumerate(texts):
-        t, following = t or "", texts[(i + 1) % len(texts)] or ""
-        m = len(t) // 4
-        edited = t[: len(t) - m] + following[:m]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and (got[i].near_edited == 1) == (edited == t)
-    assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1
-
-
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 6)).round(1)

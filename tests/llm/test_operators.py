@@ -126,13 +126,6 @@ def test_models_keep_every_counted_gram(spark):
     assert model.score(z)[0, 0] > model.score(z - np.uint64(ord("z")) + np.uint64(ord("q")))[0, 0]
 
 
-def test_licenses(spark):
-    texts = ["Some text.\nReleased under the MIT License.\nMore.", "This work is licensed under the GNU General Public License, version 2.", None, "nothing here", "license"]
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert set(got) == {0, 1} and got[0].license == "MIT" and got[0].differences == ""
-    assert got[1].license == "GPL-3.0" and got[1].differences == "-3 +2"
-
-
 def test_hashes_of_arrow_slices():
     t = substrings.Texts(pa.array(["a b", None, "c"]).slice(1))
     assert t.n == 2 and t.bytes_of(1) == b"c"

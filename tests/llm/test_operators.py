@@ -84,6 +84,39 @@ def test_toxicity_restores_ordinary_disguises(spark):
     assert got[len(pairs) + 1] == ["in", "of"]
 
 
+def test_toxicity_scores_do_not_depend_on_neighbours(spark):
+    # spaced words at the edges of documents belong to their own document
+    texts = ["xx", "m o r", "yy", "o n", None, "m o r o n", "a", "", "s t u p", "i d"]
+    own = toxicity.Restorer(toxicity.language_model(spark.createDataFrame([(i, "you stupid moron " * 9) for i in range(9)], "doc_id long, text string")))
+    found = toxicity.Classifier(*_features(["moron", "stupid", "mor"]), np.array([-3.0, 1.0, 0.5]))
+    together = found.inputs(toxicity.Texts(pa.array(texts)), own)
+    alone = np.concatenate([found.inputs(toxicity.Texts(pa.array([t], pa.string())), own) for t in texts])
+    assert np.array_equal(together, alone) and together[5, 0] > 0 and together[0, 0] == 0
+
+
+def _features(words):
+    keys = np.unique(np.concatenate([toxicity.word_features(np.frombuffer(w.encode("utf-16-le"), np.uint16), np.array([0, len(w)]))[0][:1] for w in words]))
+    return keys, np.full(len(keys), 3.0)
+
+
+def test_toxicity_learns_out_of_fold(spark):
+    # every labelled row is used; hidden words of held-out rows are found, clean and empty ones are left alone, rows repeat
+    rng = np.random.default_rng(9)
+    clean = lambda: " ".join(rng.choice(["house", "garden", "river", "stone", "cloud", "bread"], 30))
+    rows = [(i, clean() + (" you stupid moron" if i % 3 == 0 else "")) for i in range(240)]
+    rows += [(1000, clean() + " st*pid m0r0n"), (1000, clean() + " st*pid m0r0n"), (1001, clean()), (1002, None), (1003, ""), (None, clean())]
+    docs = spark.createDataFrame([(*r, 1, "t", "en") for r in rows], "doc_id long, text string, k int, t string, part string")
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(240)] + [(5, 0, None), (None, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs, labels).select("doc_id", "score", "predicted").collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == (r.doc_id is not None and (r.doc_id == 1000 or (r.doc_id < 1000 and r.doc_id % 3 == 0))) for r in got)
+    model = toxicity.language_model(docs)
+    kept = toxicity.keep(docs, toxicity.train(docs, labels, model), model)
+    assert kept.columns == docs.columns and kept.count() == 160 + 4
+    none = labels.limit(0)
+    assert {r.score for r in toxicity.classify(docs, none).collect()} == {0.5} and toxicity.classify(docs.limit(0), labels).count() == 0
+
+
 def test_logistic_reaches_the_minimum_on_separable_classes():
     rng = np.random.default_rng(2)
     for n, t in ((4000, 400), (4500, 60), (500, 500)):

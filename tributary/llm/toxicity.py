@@ -32,6 +32,8 @@ POSITIVE_DOCS, NEGATIVE_DOCS = 8_000, 16_000
 #: A feature counts if so many positive documents have it.
 LEAST_DOCS = 3
 PREFIXES = (3, 4, 5, 6)
+#: Parts of the labelled documents, each judged by the evidence of the others when the curve is fitted.
+PARTS = 4
 THRESHOLD = 0.7
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
@@ -250,8 +252,11 @@ class Classifier:
 
     def inputs(self, t: Texts, restorer: Restorer) -> np.ndarray:
         """For each text the strongest evidence of its words, and the logarithm of 1 + the sum of all evidence above 2."""
-        letters, begin, owner = restored_words(t, restorer)
-        out = np.zeros((t.n, 2))
+        return self.judge(restored_words(t, restorer), t.n)
+
+    def judge(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        letters, begin, owner = words
+        out = np.zeros((n, 2))
         if len(owner) and len(self.keys):
             d_letters, d_begin, place = distinct_words(letters, begin)
             hashes, of = word_features(d_letters, d_begin)
@@ -262,7 +267,7 @@ class Classifier:
             own = each[place]
             some = own > 0
             np.maximum.at(out[:, 0], owner[some], own[some])
-            out[:, 1] = np.log1p(np.bincount(owner, np.where(own > 2, own, 0), t.n))
+            out[:, 1] = np.log1p(np.bincount(owner, np.where(own > 2, own, 0), n))
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -276,12 +281,14 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _feature_counts(rows: DataFrame, model) -> DataFrame:
+    """(f, part, t, n): toxic and other documents of each part that have a feature."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = restorer_of(model.value)
         held: list = []
         for batch in batches:
             for part in slices(batch, "t"):
-                t = Texts(part.column(1))
+                t = Texts(part.column(2))
                 letters, begin, owner = restored_words(t, restorer)
                 if not len(owner):
                     continue
@@ -297,27 +304,42 @@ def _feature_counts(rows: DataFrame, model) -> DataFrame:
                 feature = code[order[ragged(first[word], many[word])]]
                 both = np.unique(np.repeat(doc, many[word]) * np.int64(len(keys)) + feature)
                 doc, feature = both // len(keys), both % len(keys)
-                toxic = part.column(0).to_numpy()[doc]
-                held.append(pd.DataFrame({"f": keys.view(np.int64), "t": np.bincount(feature, toxic, len(keys)).astype(np.int64), "n": np.bincount(feature, 1 - toxic, len(keys)).astype(np.int64)}))
+                toxic, own = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
+                for i in np.unique(own):
+                    mine = own == i
+                    n, t_ = np.bincount(feature[mine], minlength=len(keys)), np.bincount(feature[mine], toxic[mine], len(keys)).astype(np.int64)
+                    seen = n > 0
+                    held.append(pd.DataFrame({"f": keys.view(np.int64)[seen], "part": np.int32(i), "t": t_[seen], "n": (n - t_)[seen]}))
                 if sum(map(len, held)) > 3_000_000:
-                    held = [pd.concat(held).groupby("f", as_index=False).sum()]
+                    held = [pd.concat(held).groupby(["f", "part"], as_index=False).sum()]
         if held:
-            out = pd.concat(held).groupby("f", as_index=False).sum()
+            out = pd.concat(held).groupby(["f", "part"], as_index=False).sum()
             for a in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_pandas(out[a : a + 100_000], preserve_index=False)
 
-    return map_batches(rows.select("toxic", "t"), counted, "f long, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return map_batches(rows.select("toxic", "part", "t"), counted, "f long, part int, t long, n long").groupBy("f", "part").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+
+
+def _evidence(t: np.ndarray, n: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """Evidence of features that t of so many toxic and n of so many other documents have; 0 for features that don't count."""
+    counts = (t >= LEAST_DOCS) & (t * other > 4 * n * toxic)
+    return np.where(counts, np.log((t + 0.5) / (toxic + 1)) - np.log((n + 1.5) / (other + 1)), 0.0)
 
 
 def _inputs(rows: DataFrame, found, model) -> pd.DataFrame:
+    """(toxic, a, b) of each row, by the classifier of its part."""
+
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = restorer_of(model.value)
         for batch in batches:
             for part in slices(batch, "t"):
-                x = found.value.inputs(Texts(part.column(1)), restorer)
+                own, t = part.column(1).to_numpy(), Texts(part.column(2))
+                words, x = restored_words(t, restorer), np.zeros((t.n, 2))
+                for i in np.unique(own):
+                    x[own == i] = found.value[i].judge(words, t.n)[own == i]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "a", "b"])
 
-    return map_batches(rows.select("toxic", "t"), given, "toxic int, a double, b double").toPandas()
+    return map_batches(rows.select("toxic", "part", "t"), given, "toxic int, a double, b double").toPandas()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -351,26 +373,33 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, model: Model, text: str = "text") -> Classifier:
     """A classifier from labelled rows (doc_id, toxic): POSITIVE_DOCS and NEGATIVE_DOCS at most, chosen by a hash of doc_id.
 
-    Three quarters give the features' evidence, the rest the curve. Null labels take no part; several labels of a document
-    count as toxic if one is. Without positive or negative rows every score is the share of positive ones (0.5 if none).
+    All of them give the features' evidence and the curve: a row's place on the curve is learned from the evidence of the
+    other parts, so that no row speaks for itself. Null labels take no part; several labels of a document count as toxic if
+    one is; several rows of a doc_id have its label each. Without positive or negative rows every score is the share of
+    positive ones (0.5 if none).
     """
     spark = docs.sparkSession
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = _sample(own.where("toxic = 1"), POSITIVE_DOCS).unionByName(_sample(own.where("toxic = 0"), NEGATIVE_DOCS))
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)))
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(picked), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int"))
     rows = table(rows)  # bounded by the sample
-    size = {(r.toxic, bool(r.last)): r.n for r in rows.groupBy("toxic", (F.col("part") == 0).alias("last")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    t, n = size.get((1, False), 0), size.get((0, False), 0)
-    if not t or not n or not size.get((1, True)) or not size.get((0, True)):
-        share = (t + size.get((1, True), 0) + 0.5) / (sum(size.values()) + 1)
+    size = np.zeros((2, PARTS), np.int64)
+    for r in rows.groupBy("toxic", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        size[int(r.toxic > 0), r.part] = r.n
+    toxic, other = int(size[1].sum()), int(size[0].sum())
+    if not toxic or not other:
+        share = (toxic + 0.5) / (toxic + other + 1)
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     sent = spark.sparkContext.broadcast(model)
-    seen = _feature_counts(rows.where("part <> 0"), sent).where((F.col("t") >= LEAST_DOCS) & (F.col("t") * n > 4 * F.col("n") * t)).toPandas()
-    seen = seen.assign(f=seen.f.to_numpy(np.int64).view(np.uint64)).sort_values("f")
-    evidence = np.log((seen.t + 0.5) / (t + 1)) - np.log((seen.n + 1.5) / (n + 1))
-    found = Classifier(seen.f.to_numpy(np.uint64), evidence.to_numpy(float), np.zeros(3))
-    x = _inputs(rows.where("part = 0"), spark.sparkContext.broadcast(found), sent)
-    return Classifier(found.keys, found.evidence, _logistic(x[["a", "b"]].to_numpy(), x["toxic"].to_numpy(float)))
+    counts = _feature_counts(rows, sent).groupBy("f").agg(F.sum("t").alias("all"), F.collect_list(F.struct("part", "t", "n")).alias("parts")).where(F.col("all") >= LEAST_DOCS)
+    counts = counts.select("f", F.inline("parts")).toPandas()
+    keys, at = np.unique(counts.f.to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    t, n = np.zeros((2, len(keys), PARTS), np.int64)
+    t[at, counts.part], n[at, counts.part] = counts.t, counts.n
+    every, none = _evidence(t.sum(axis=1), n.sum(axis=1), toxic, other), np.zeros(3)
+    others = [Classifier(keys, _evidence(t.sum(axis=1) - t[:, i], n.sum(axis=1) - n[:, i], toxic - int(size[1, i]), other - int(size[0, i])), none) for i in range(PARTS)]
+    x = _inputs(rows, spark.sparkContext.broadcast(others), sent)
+    return Classifier(keys[every > 0], every[every > 0], _logistic(x[["a", "b"]].to_numpy(), x["toxic"].to_numpy(float)))
 
 
 def score(docs: DataFrame, found: Classifier, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

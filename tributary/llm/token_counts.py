@@ -46,8 +46,9 @@ class PieceBpe:
                 cache[c] = len(ids) if c else 1
         return np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
 
-    def inner_counts(self, chunk: bytes) -> list[int]:
-        """Tokens of each prefix of a chunk (given without its first blank), by characters, from none to all.
+    def inner_counts(self, chunk: bytes, limit: int | None = None) -> list[int]:
+        """Tokens of each prefix of a chunk (given without its first blank), by characters, from none to all, or to where no longer
+        prefix can have at most limit tokens.
 
         best[i] is the last piece of the encoding of the first i characters: the one whose predecessor's encoding ends in a
         piece that doesn't merge with it. So the count at i is one more than the count where that piece begins.
@@ -56,7 +57,10 @@ class PieceBpe:
         n = len(text)
         count, last = [0] * (n + 1), [""] * (n + 1)
         for i in range(1, n + 1):
-            for a in range(0, i):
+            # a longer prefix has a token at least for each longest piece
+            if limit is not None and i > 1 and (i - 1) > (limit + 1) * self.longest:
+                return count[1:i]
+            for a in range(max(0, i - self.longest), i):
                 piece = text[a:i]
                 width = self._width(piece)
                 if width and (not a or self._apart(last[a], piece)):
@@ -64,6 +68,32 @@ class PieceBpe:
                     break
         return count[1:]
 
+    @property
+    def longest(self) -> int:
+        """Characters of the longest piece: none that ends at a place begins further back."""
+        if not hasattr(self, "_longest"):
+            self._longest = max(len(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size()))
+        return self._longest
+
+    def count_at(self, text: str, chars: int) -> int:
+        """Tokens of the text's first so many characters: the count where its last chunk begins and the programme inside that."""
+        part = text[:chars].encode()
+        ends, tokens, _ = self.prefixes(Texts(pa.array([part.decode()])))
+        if not len(ends):
+            return 0
+        begin, before = (int(ends[-2]), int(tokens[-2])) if len(ends) > 1 else (0, 0)
+        return before + self.inner_counts(_unmarked(part[begin:], begin == 0))[-1]
+
+    def within(self, chunk: bytes, first: bool, limit: int) -> tuple[int, int]:
+        """Bytes and tokens of a chunk's longest prefix of whole characters that has at most limit tokens. first: the chunk begins a text."""
+        said = _unmarked(chunk, first)
+        lead = len(chunk) - len(said)
+        counts = self.inner_counts(said, limit)
+        # counts[0] is of the blank alone, which a text's own first chunk doesn't have
+        sizes = np.cumsum([lead, *(len(c.encode()) for c in said.decode())][: len(counts)])
+        fit = [i for i, n in enumerate(counts) if n <= limit and not (first and i == 0)]
+        return (int(sizes[fit[-1]]), counts[fit[-1]]) if fit else (0, 0)
+
     def _width(self, piece: str) -> int:
         """Tokens that stand for a piece: 1, or a byte's each for a character outside the vocabulary; 0 if it is none."""
         if self.model.piece_to_id(piece) != self.model.unk_id():
@@ -73,6 +103,8 @@ class PieceBpe:
     def _apart(self, left: str, right: str) -> bool:
         """Whether the encoding of two pieces' text is these two pieces."""
         box = kept("apart", dict)
+        if len(box) > CACHE_CHUNKS:
+            box.clear()
         if (left, right) not in box:
             whole = self.model.encode_as_pieces((left + right).removeprefix(MARK.decode())) if (left + right).startswith(MARK.decode()) else self.model.encode_as_pieces("\n" + left + right)[2:]
             want = [p for x in (left, right) for p in ([x] if self.model.piece_to_id(x) != self.model.unk_id() else [f"<0x{b:02X}>" for b in x.encode()])]
@@ -101,6 +133,11 @@ class PieceBpe:
         return ends - np.repeat(t.offsets[:-1], counts), total - base, counts
 
 
+def _unmarked(chunk: bytes, first: bool) -> bytes:
+    """A chunk without its first blank; a text's own first chunk has none, as sentencepiece puts one there."""
+    return chunk if first else chunk[1:] if chunk[:1] == b" " else chunk[len(MARK) :]
+
+
 def _chunks(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = t.data
     n = len(data)
@@ -131,8 +168,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, prefixes: bool =
     """(key, n_bytes, n_tokens, cut_bytes, cut_tokens[, prefix_bytes, prefix_tokens]) of each whole text.
 
     prefix_tokens[i] is the exact token count of the text's first prefix_bytes[i] bytes, for every prefix that ends with a
-    chunk; cut_* is the longest of them within limit, so truncation to a budget needs no encoding. Inside a chunk,
-    PieceBpe.inner_counts has the count at every character. Null and empty texts have no tokens. No shuffle.
+    chunk. cut_* is the longest prefix of whole characters within limit: up to the chunk where the budget ends by these
+    counts, inside it by the programme over its prefixes; PieceBpe.count_at answers any prefix so. Null and
+    empty texts have no tokens; each row stands for itself, so keys may be null or repeat. No shuffle.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +188,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, prefixes: bool =
                 cut_b, cut_t = np.zeros(t.n, np.int64), np.zeros(t.n, np.int64)
                 at = (upto[:-1] + fit - 1)[fit > 0]
                 cut_b[fit > 0], cut_t[fit > 0] = ends[at], tokens[at]
+                for i in np.flatnonzero(fit < counts).tolist():
+                    # the budget ends inside the next chunk
+                    data = t.bytes_of(i)[cut_b[i] : ends[upto[i] + fit[i]]]
+                    b, n = model.within(data, not fit[i], limit - int(cut_t[i]))
+                    cut_b[i] += b
+                    cut_t[i] += n
                 cols = [part.column(0), pa.array(np.diff(t.offsets)), pa.array(total), pa.array(cut_b), pa.array(cut_t)]
                 if prefixes:
                     off = pa.array(upto.astype(np.int32))

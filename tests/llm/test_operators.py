@@ -32,27 +32,54 @@ def test_bpe_equals_the_library_and_goes_round(docs):
 
 def test_token_counts_at_every_prefix(docs):
     model = token_counts.PieceBpe(PIECE)
+    size = lambda text: len(model.model.encode(text))
     for r in token_counts.count_tokens(docs, PIECE, 7, prefixes=True).collect():
-        text = (TEXTS[r.doc_id] or "").encode()
-        assert r.n_bytes == len(text) and r.n_tokens == len(model.model.encode(text.decode()))
+        whole = TEXTS[r.doc_id] or ""
+        text = whole.encode()
+        assert r.n_bytes == len(text) and r.n_tokens == size(whole)
         for b, n in list(zip(r.prefix_bytes, r.prefix_tokens))[:40]:
-            assert n == len(model.model.encode(text[:b].decode()))
+            assert n == size(text[:b].decode())
+        longest = max(i for i in range(min(len(whole), 300) + 1) if size(whole[:i]) <= 7)
+        assert (r.cut_bytes, r.cut_tokens) == (len(whole[:longest].encode()), size(whole[:longest]))
     for w in ("thinking", "éa漢x", "  a"):
-        assert model.inner_counts(w.encode())[1:] == [len(model.model.encode(w[:i])) for i in range(1, len(w) + 1)]
+        assert model.inner_counts(w.encode())[1:] == [size(w[:i]) for i in range(1, len(w) + 1)]
+    for text in ("Unbelievable  things happened;\tsaid 漢字 and é😀x", " ▁ a▁b  ", "x" * 60, "antidisestablishmentarianism" * 3):
+        assert [model.count_at(text, i) for i in range(len(text) + 1)] == [size(text[:i]) for i in range(len(text) + 1)]
+
+
+def brute_knn(rows, every, k):
+    """(query_id, rank, vec_id, score) of (id, vector) rows; shorter vectors count as 0 where they end."""
+    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(np.int64).tolist()) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    out = []
+    for q, x in v:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in v if j != q)[:k]
+            out += [(q, i + 1, j, -s) for i, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def check_knn(spark, rows, every=50, k=5):
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "vec_id long, embedding array<float>, cell string, r int")
+    assert sorted(map(tuple, knn.search(df, every, k).collect())) == brute_knn(rows, every, k)
 
 
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 6)).round(1)
     x[40:80] = x[0]
-    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [float("nan")] * 6)]
-    got = sorted(map(tuple, knn.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), 50, 5).collect()))
-    v = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
-    want = []
-    for q in range(0, 300, 50):
-        best = sorted((-int(v[q] @ v[j]), j) for j in range(300) if j != q)[:5]
-        want += [(q, i + 1, j, -s) for i, (s, j) in enumerate(best)]
-    assert got == want
+    check_knn(spark, [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(500, None), (501, [float("nan")] * 6), (550, [1.0, None])])
+
+
+def test_knn_of_groups_lengths_and_repeated_ids(spark, monkeypatch):
+    # groups far apart, small parts and blocks, vectors of unequal lengths, empty ones, rows with one id, null ids
+    monkeypatch.setattr(knn, "PART_ROWS", 20)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) * 0.2 + 9 * (i % 5)).tolist()) for i in range(200)] + [(201, [1.0]), (202, []), (210, [3.0, 4.0]), (210, [-3.0, 4.0, 1.0, 0.0, 5.0]), (211, [2.0] * 4), (211, [2.0] * 4), (None, [1.0] * 4)]
+    check_knn(spark, rows, 10, 7)
+    check_knn(spark, rows[:3], 1, 5)
+    check_knn(spark, [(0, [1.0])], 1, 5)
+    assert knn.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_knn_own_row_takes_no_place(spark):

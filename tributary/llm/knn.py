@@ -45,25 +45,33 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest inner products among vectors (id, v) other than itself; ties to
-    the smaller id, all if there are fewer.
+    """(query_id, rank, vec_id, score): each query's k largest inner products among vectors (id, v) with other ids; ties to the
+    smaller id, all if there are fewer.
 
     1. Pivots are a bounded sample of vectors. Each vector joins the group of its nearest pivot. A group's summary is its
-       size and, for each component, the least and largest value: PIVOTS rows for the driver, whatever the input.
-    2. For a query, a group's score is at most the sum of q_i times the end of component i that makes it larger, and at least
-       the sum with the other end. The k-th largest of the lower bounds, each counted as often as its group has rows (less the
-       query itself), is a floor: groups whose upper bound is below it can hold no answer.
-    3. A query goes only to the other groups (all parts of a large one), is scored there exactly, and each part's few best
-       are merged.
-
-    Repeated ids stay apart as rows, but a query never answers itself or a row of its own id. Empty tables give no rows.
+       size, its radius about the pivot and, for each component, the least and largest value: PIVOTS rows for the driver, whatever the input.
+    2. For a query, a group's score is at most the sum of q_i times the end of component i that makes it larger, and at most
+       its product with the pivot and the radius times the query's length; at least the same with the other end, and less the
+       radius. The k-th largest of the lower bounds, each counted as often as its group has rows, or of the products with
+       the pivots, is a floor (k+1-th, as the query itself may be there): groups whose upper bound is below it hold no answer.
+    3. A query goes only to the other groups (all parts of a large one), a group only to blocks of queries that need it. There
+       scores are exact, and each part's few best are merged.
+
+    A vector that is shorter than others counts as 0 where they go on. Vectors with one id stay apart, as do queries with one id, which
+    each get their k. Empty tables give no rows.
     """
-    rows = table(vectors)
-    n = rows.count()
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(pivots).collect()], float)
+    spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    if not n or not len(sample):
-        return vectors.sparkSession.createDataFrame([], schema)
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n or pivots < 1:
+        return spark.createDataFrame([], schema)
+    even = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(max(width, 1)) - F.size("v"))).alias("v")
+    rows = table(vectors.select("id", even))
+    wide = queries.agg(F.max(F.size("v"))).first()[0] or 0
+    if wide > width:  # what no vector has makes no difference
+        queries = queries.withColumn("v", F.slice("v", 1, max(width, 1)))
+    asked = table(queries.select("id", even, F.monotonically_increasing_id().alias("r")))
+    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(pivots).collect()], float)
     half = (sample**2).sum(axis=1) / 2
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,20 +79,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1)).astype(float)
-            near = np.argmax(x @ sample.T - half, axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["id", "v", "cell"])
+            near = np.argmax(x @ sample.T - half, axis=1)
+            away = np.sqrt(((x - sample[near]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(away)], ["id", "v", "cell", "away"])
 
-    voronoi = table(map_batches(rows, grouped, "id long, v array<long>, cell int"))
-    sizes = {r.cell: r.n for r in voronoi.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = {c: max(1, round(m / PART_ROWS)) for c, m in sizes.items()}
+    voronoi = table(map_batches(rows, grouped, "id long, v array<long>, cell int, away double"))
+    known = {r.cell: (r.n, r.radius) for r in voronoi.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
+    cuts = {c: max(1, round(m / PART_ROWS)) for c, (m, _) in known.items()}
     cut = F.create_map(*[x for c, m in cuts.items() for x in (F.lit(c), F.lit(m))])[F.col("cell")]
-    blocks = max(1, round(queries.count() / QUERY_ROWS))
-    parted = voronoi.select("cell", F.pmod(F.xxhash64("id", F.lit(29)), cut).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
+    blocks = max(1, round(asked.count() / QUERY_ROWS))
     ends = voronoi.select("cell", F.posexplode("v").alias("i", "x")).groupBy("cell", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     summary = ends.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("e")).select("cell", F.col("e.low").alias("low"), F.col("e.high").alias("high")).orderBy("cell").toPandas()
     low, high = np.array(summary.low.tolist(), float), np.array(summary.high.tolist(), float)
     names = summary.cell.to_numpy(np.int32)
-    count = np.array([sizes[c] for c in names.tolist()])
+    count, radius = (np.array([known[c][i] for c in names.tolist()], float) for i in (0, 1))
+    centre = sample[names]
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,39 +101,45 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
                 own = batch.slice(a, 256)
                 q = _matrix(own.column(1)).astype(float)
                 up, down = np.maximum(q, 0), np.minimum(q, 0)
-                top = up @ high.T + down @ low.T
-                bottom = up @ low.T + down @ high.T
+                near, reach = q @ centre.T, np.sqrt((q**2).sum(axis=1))[:, None] * radius
+                top = np.minimum(up @ high.T + down @ low.T, near + reach)
+                bottom = np.maximum(up @ low.T + down @ high.T, near - reach)
                 order = np.argsort(-bottom, axis=1)
                 held = np.cumsum(count[order], axis=1)
-                # one more than k, as the query itself may be among the rows
                 at = np.argmax(held >= k + 1, axis=1)
-                enough = held[:, -1] >= k + 1
-                floor = np.where(enough, np.take_along_axis(bottom, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], -np.inf)
+                floor = np.where(held[:, -1] >= k + 1, np.take_along_axis(bottom, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], -np.inf)
+                if len(sample) > k:
+                    floor = np.maximum(floor, -np.partition(-(q @ sample.T), k, axis=1)[:, k])
+                floor -= 1e-9 * (1 + np.abs(top).max(axis=1) + np.abs(bottom).max(axis=1))  # what floats may be off
                 qi, pi = np.nonzero(top >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names[pi]), own.column(0).take(pa.array(qi)), own.column(1).take(pa.array(qi))], ["cell", "q", "v"])
+                qi = pa.array(qi)
+                yield pa.RecordBatch.from_arrays([pa.array(names[pi]), own.column(0).take(qi), own.column(2).take(qi), own.column(1).take(qi)], ["cell", "q", "r", "v"])
 
-    sent = map_batches(queries.select("id", "v"), routed, "cell int, q long, v array<long>")
-    sent = sent.select("cell", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int"))).alias("part"), F.pmod(F.xxhash64("q", F.lit(31)), F.lit(blocks)).cast("int").alias("block"), "q", "v")
+    sent = map_batches(asked.select("id", "v", "r"), routed, "cell int, q long, r long, v array<long>")
+    sent = table(sent.select("cell", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int"))).alias("part"), F.pmod(F.xxhash64("r", F.lit(31)), F.lit(blocks)).cast("int").alias("block"), "q", "r", "v"))
     key = ["cell", "part", "block"]
+    needed = sent.select(*key).distinct().select("cell", "part", (F.col("block") + 0).alias("block"))
+    parted = voronoi.select("cell", F.pmod(F.xxhash64("id", F.lit(29)), cut).cast("int").alias("part"), "id", "v").join(needed, ["cell", "part"])
 
     def solved(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("q", "r", "id", "score")})
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            return none
         right = right.sort_values("id", kind="stable")
         x, ids = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
-        out = []
+        out = [none]
         for a in range(0, len(left), 256):
             block = left[a : a + 256]
             s = _exact(np.stack(block["v"].to_numpy()), x)
             s[block["q"].to_numpy()[:, None] == ids[None, :]] = NEVER
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order, so ties fall to the smaller
             val = np.take_along_axis(s, best, 1)
-            out.append(pd.DataFrame({"q": np.repeat(block["q"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "score": val.ravel()}))
+            out.append(pd.DataFrame({"q": np.repeat(block["q"].to_numpy(), best.shape[1]), "r": np.repeat(block["r"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "score": val.ravel()}))
         found = pd.concat(out)
         return found[found["score"] != NEVER]
 
-    local = sent.groupBy(*key).cogroup(parted.groupBy(*key)).applyInPandas(solved, T.StructType([T.StructField(c, T.LongType()) for c in ("q", "id", "score")]))
-    merged = local.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
+    local = sent.groupBy(*key).cogroup(parted.groupBy(*key)).applyInPandas(solved, T.StructType([T.StructField(c, T.LongType()) for c in ("q", "r", "id", "score")]))
+    merged = local.groupBy("q", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     return merged.select(F.col("q").alias("query_id"), F.posexplode("best").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.runtime import Texts, binary_array, kept, map_batches, ragged, slices
+from tributary.llm.runtime import Texts, binary_array, kept, local, map_batches, ragged, slices
 from tributary.llm.splitting import LETTER, class_of, code_points
 
 ORDER = 4
@@ -158,14 +158,14 @@ def fit(counts: DataFrame) -> Model:
         if k < ORDER:
             mask = (1 << (16 * k)) - 1
             table = table.groupBy("label", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        whole = table.groupBy("label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).toPandas()
+        whole = local(table.groupBy("label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")))
         if len(whole) > 256:
             raise ValueError("more than 256 labels")
         sums.append(whole.assign(k=k))
-        rows.append(table.select("label", "g", "n").toPandas().assign(k=k))
+        rows.append(local(table.select("label", "g", "n")).assign(k=k))
         if k > 1:
             ctx = table.groupBy("label", F.shiftrightunsigned("g", 16).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-            contexts.append(ctx.toPandas().assign(k=k))
+            contexts.append(local(ctx).assign(k=k))
     return _assemble(pd.concat(sums), pd.concat(rows), pd.concat(contexts))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.runtime import map_batches, table
+from tributary.llm.runtime import local, map_batches, table
 
 PIVOTS = 64
 #: Score of a query against itself. Its negative is in range too, so that it sorts last.
@@ -89,7 +89,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     cut = F.create_map(*[x for c, m in cuts.items() for x in (F.lit(c), F.lit(m))])[F.col("cell")]
     blocks = max(1, round(asked.count() / QUERY_ROWS))
     ends = voronoi.select("cell", F.posexplode("v").alias("i", "x")).groupBy("cell", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    summary = ends.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("e")).select("cell", F.col("e.low").alias("low"), F.col("e.high").alias("high")).orderBy("cell").toPandas()
+    summary = local(ends.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("e")).select("cell", F.col("e.low").alias("low"), F.col("e.high").alias("high")).orderBy("cell"))
     low, high = np.array(summary.low.tolist(), float), np.array(summary.high.tolist(), float)
     names = summary.cell.to_numpy(np.int32)
     count, radius = (np.array([known[c][i] for c in names.tolist()], float) for i in (0, 1))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.charlm import Model, count_grams, distinct_words, fit, letter_words, word_scores
-from tributary.llm.runtime import Texts, map_batches, slices, table
+from tributary.llm.runtime import Texts, local, map_batches, slices, table
 
 #: A text is rejected if its cross-entropy is above this quantile of its label's texts, times the slack. Cross-entropies are
 #: counted in steps of 1/STEPS.
@@ -98,7 +98,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([x for _, x in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["l", "step", "n"])
 
     source = own.select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
-    steps = map_batches(source, counted, "l string, step long, n long").groupBy("l", "step").agg(F.sum("n").alias("n")).toPandas()
+    steps = local(map_batches(source, counted, "l string, step long, n long").groupBy("l", "step").agg(F.sum("n").alias("n")))
     for i, x in enumerate(model.labels):
         own_steps = steps[steps.l == x].sort_values("step")
         if len(own_steps):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.runtime import Texts, drop_tables, kept, map_batches, ragged, release, slices, table
+from tributary.llm.runtime import Texts, drop_tables, kept, local, map_batches, ragged, release, slices, table
 from tributary.llm.splitting import blank_words, gram_hashes, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -249,7 +249,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "t
     n = digests.count()
     # numbers are fixed once they are written; a key can't be the node, as its rows may have different texts
     nodes = table(digests.groupBy("d1", "d2").agg(F.min("k").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    frequent = document_frequencies(source.select("k", "t"), n).toPandas()
+    frequent = local(document_frequencies(source.select("k", "t"), n))
     frequent = frequent.assign(h=frequent.h.to_numpy(np.int64).view(np.uint64)).sort_values("h")
     idf = spark.sparkContext.broadcast(Idf(frequent.h.to_numpy(np.uint64), np.log(n / frequent.df.to_numpy(float)).astype(np.float32)))
 

@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -109,6 +110,11 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def local(df: DataFrame) -> pd.DataFrame:
+    """The rows of a bounded df on the driver. They come by Arrow: row objects would take many times their memory."""
+    return df.toArrow().to_pandas()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: object) -> DataFrame:
     """mapInArrow with the package shipped first."""
     ship(df.sparkSession)

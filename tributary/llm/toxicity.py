@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.charlm import BEGIN, END, FAR, Model, count_grams, distinct_words, fit, letter_words
 from tributary.llm.langid import fold
-from tributary.llm.runtime import Texts, binary_array, map_batches, ragged, slices, table
+from tributary.llm.runtime import Texts, binary_array, local, map_batches, ragged, slices, table
 from tributary.llm.splitting import blank_words, mix, word_hashes
 
 # What a character may stand for.
@@ -281,7 +281,7 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _feature_counts(rows: DataFrame, model) -> DataFrame:
-    """(f, part, t, n): toxic and other documents of each part that have a feature."""
+    """(f, t0, n0, t1, n1, ...): the toxic and the other documents of each part that have a feature."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = restorer_of(model.value)
@@ -317,7 +317,8 @@ def _feature_counts(rows: DataFrame, model) -> DataFrame:
             for a in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_pandas(out[a : a + 100_000], preserve_index=False)
 
-    return map_batches(rows.select("toxic", "part", "t"), counted, "f long, part int, t long, n long").groupBy("f", "part").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    sums = [F.sum(F.when(F.col("part") == i, F.col(c)).otherwise(0)).alias(f"{c}{i}") for i in range(PARTS) for c in "tn"]
+    return map_batches(rows.select("toxic", "part", "t"), counted, "f long, part int, t long, n long").groupBy("f").agg(*sums)
 
 
 def _evidence(t: np.ndarray, n: np.ndarray, toxic: int, other: int) -> np.ndarray:
@@ -339,7 +340,7 @@ def _inputs(rows: DataFrame, found, model) -> pd.DataFrame:
                     x[own == i] = found.value[i].judge(words, t.n)[own == i]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "a", "b"])
 
-    return map_batches(rows.select("toxic", "part", "t"), given, "toxic int, a double, b double").toPandas()
+    return local(map_batches(rows.select("toxic", "part", "t"), given, "toxic int, a double, b double"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -391,11 +392,16 @@ def train(docs: DataFrame, labels: DataFrame, model: Model, text: str = "text")
         share = (toxic + 0.5) / (toxic + other + 1)
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     sent = spark.sparkContext.broadcast(model)
-    counts = _feature_counts(rows, sent).groupBy("f").agg(F.sum("t").alias("all"), F.collect_list(F.struct("part", "t", "n")).alias("parts")).where(F.col("all") >= LEAST_DOCS)
-    counts = counts.select("f", F.inline("parts")).toPandas()
-    keys, at = np.unique(counts.f.to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    t, n = np.zeros((2, len(keys), PARTS), np.int64)
-    t[at, counts.part], n[at, counts.part] = counts.t, counts.n
+    counts = _feature_counts(rows, sent).withColumn("t", sum((F.col(f"t{i}") for i in range(1, PARTS)), F.col("t0"))).withColumn("n", sum((F.col(f"n{i}") for i in range(1, PARTS)), F.col("n0")))
+    speaks = lambda t, n, toxic, other: (t >= LEAST_DOCS) & (t * int(other) > 4 * n * int(toxic))
+    used = speaks(F.col("t"), F.col("n"), toxic, other)
+    for i in range(PARTS):
+        used |= speaks(F.col("t") - F.col(f"t{i}"), F.col("n") - F.col(f"n{i}"), toxic - size[1, i], other - size[0, i])
+    counts = local(counts.where(used).drop("t", "n"))
+    keys = counts.f.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    t, n = (counts[[f"{c}{i}" for i in range(PARTS)]].to_numpy(np.int64)[order] for c in "tn")
     every, none = _evidence(t.sum(axis=1), n.sum(axis=1), toxic, other), np.zeros(3)
     others = [Classifier(keys, _evidence(t.sum(axis=1) - t[:, i], n.sum(axis=1) - n[:, i], toxic - int(size[1, i]), other - int(size[0, i])), none) for i in range(PARTS)]
     x = _inputs(rows, spark.sparkContext.broadcast(others), sent)

@@ -13,6 +13,8 @@ from tributary.llm.runtime import Texts, binary_array, drop_tables, map_batches,
 from tributary.llm.splitting import blank_words, gram_hashes, mix, word_hashes
 
 WINDOW, ANCHOR = 13, 5
+#: Bytes of text in a step: hashing takes some sixty times as many for a moment.
+SLICE = 1 << 20
 #: Bits that hold a seed's number of windows, below its place.
 COUNT_BITS = 8
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -102,7 +104,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: s
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE):
                 w = Words(Texts(part.column(2)))
                 grams, place, _ = w.seeds(window, anchor)
                 own = w.owners(place)
@@ -115,7 +117,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: s
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE):
                 w = Words(Texts(part.column(2)))
                 grams, place, n = w.seeds(window, anchor)
                 own = w.owners(place)
@@ -127,7 +129,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: s
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE):
                 w = Words(Texts(part.column(2)))
                 lists = part.column(3)
                 size = np.asarray(lists.value_lengths())
@@ -195,7 +197,7 @@ def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "do
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE):
                 t = Texts(part.column(2))
                 w = Words(t, hashed=False)
                 keep = _kept_words(w, part.column(3), part.column(4))
@@ -233,7 +235,7 @@ def cut(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str =
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, own):
+            for part in slices(batch, own, SLICE):
                 some = np.flatnonzero(np.asarray(part.column(len(part.columns) - 1)))
                 if len(some):
                     chosen = part.take(pa.array(some))

@@ -138,8 +138,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
         found = pd.concat(out)
         return found[found["score"] != NEVER]
 
-    local = sent.groupBy(*key).cogroup(parted.groupBy(*key)).applyInPandas(solved, T.StructType([T.StructField(c, T.LongType()) for c in ("q", "r", "id", "score")]))
-    merged = local.groupBy("q", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
+    scored = sent.groupBy(*key).cogroup(parted.groupBy(*key)).applyInPandas(solved, T.StructType([T.StructField(c, T.LongType()) for c in ("q", "r", "id", "score")]))
+    merged = scored.groupBy("q", "r").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     return merged.select(F.col("q").alias("query_id"), F.posexplode("best").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 

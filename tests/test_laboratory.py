@@ -69,6 +69,9 @@ def test_readers(spark, tmp_path):
     p = tmp_path / "t.tbl"
     p.write_text("1|x||2.5\n2|y|7|\n")
     assert rows(tables.read_delimited(spark, str(p), ["int", "char(3)", "long", "dec"])) == [(1, "x", None, 2.5), (2, "y", 7, None)]
+    q = tmp_path / "quote.tbl"
+    q.write_text('#KEY, VAL\n1 "2\n3 4\n')
+    assert [r.key for r in tables.read_relation(spark, str(q)).collect()] == [1, 3]
     for i, text in enumerate(("#KEY, VAL\n1 2\n3 4\n", "#KEY, VAL\n1,2\n3,4\n", "#KEY\n1\n3\n")):
         q = tmp_path / f"r{i}.tbl"
         q.write_text(text)
@@ -84,3 +87,7 @@ def test_cost_model(spark):
     assert best["TPCH-1", "No-Partition Hash Join"] == (14.463, 1.204)
     assert best["TPCH-4", "Partitioned Radix Hash Join"] == (2.2502, 1.462)
     assert best["TPCH-6", "Vector Join"] == (0.9299, 1.0)
+
+
+def test_edge_selectivity(repeated):
+    assert rows(joins.edge_selectivity(*repeated, "key", "key", "e")) == [("e", 5, 5 / 25)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes, as the optimizer estimates them, up to which a side is broadcast or met by nested loops.
-MOST_BROADCAST, MOST_NESTED = 512 << 20, 16 << 20
+MOST_BROADCAST, MOST_NESTED = 64 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -129,6 +129,15 @@ def filtered(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(condition)
 
 
+def edge_selectivity(r: DataFrame, s: DataFrame, r_key: str, s_key: str, name: str) -> DataFrame:
+    """(edge, matches, selectivity): the matches of an equi-join, and their part of all pairs; both sides are counted once each."""
+    ones = lambda df, key, n: df.groupBy(F.col(key).cast("long").alias("key")).agg(F.count(F.lit(1)).alias(n))
+    both = ones(r, r_key, "r").join(ones(s, s_key, "s"), "key", "full")
+    sums = both.agg(F.sum(F.col("r") * F.col("s")).alias("m"), F.sum("r").alias("r"), F.sum("s").alias("s"))
+    matches = F.coalesce("m", F.lit(0))
+    return sums.select(F.lit(name).alias("edge"), matches.alias("matches"), (matches / (F.col("r").cast("double") * F.col("s"))).alias("selectivity"))
+
+
 def pass_rate(df: DataFrame, condition: Column, name: str) -> DataFrame:
     """(relation, rows, effective_rows, pass_rate), measured in one scan."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(condition.cast("long")), F.lit(0)).alias("effective_rows")).select(F.lit(name).alias("relation"), "rows", "effective_rows", F.round(F.col("effective_rows") / F.col("rows"), 6).alias("pass_rate"))

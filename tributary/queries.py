@@ -61,7 +61,7 @@ def _more_joins() -> None:
     _add("wide_projection_join", lambda s, d: joins.join("pro", *_orders_lines(s, d), "o_orderkey", "l_orderkey", *wide), wide_sql)
 
     def late(s: SparkSession, d: str) -> DataFrame:
-        # a line's number isn't unique in its order, so a row number over all columns makes the row id
+        # both keys are unique, so they are the row ids
         nations, suppliers = _nations_suppliers(s, d)
         return joins.late(nations, suppliers, "n_nationkey", "s_nationkey", ["n_nationkey"], ["s_suppkey"], ["n_name"], ["s_name"])
 
@@ -128,6 +128,12 @@ def _orders() -> None:
             _add(f"{kind}_join_order{i + 1}", lambda s, d, o=order, r=run: r(s, d, o), select + join_sql)
         _add(f"filtered_{kind}", lambda s, d, o=names, r=run: r(s, d, o, only=where), select + join_sql + " WHERE " + " AND ".join(where[n] for n in names if n in where))
     _add("pass_rates", lambda s, d: joins.pass_rate(read_table(s, d, "part"), F.col("p_size") <= 25, "part").unionAll(joins.pass_rate(read_table(s, d, "orders"), F.col("o_totalprice") > 100000, "orders")), " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS rows, count(*) FILTER (WHERE {where[t]}) AS effective_rows, round(count(*) FILTER (WHERE {where[t]}) / CAST(count(*) AS DOUBLE), 6) AS pass_rate FROM {t}" for t in ("part", "orders")))
+    _add(
+        "edge_selectivity",
+        lambda s, d: joins.edge_selectivity(*_orders_lines(s, d), "o_orderkey", "l_orderkey", "orders-lineitem"),
+        "SELECT 'orders-lineitem' AS edge, count(*) AS matches, count(*) / (CAST((SELECT count(*) FROM orders) AS DOUBLE) * (SELECT count(*) FROM lineitem)) AS selectivity "
+        "FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    )
     _add("cost_model_48", lambda s, d: costmodel.study(s))
     _add("cost_all_orders", lambda s, d: costmodel.evaluate(s).drop("description", "conflict"))
     _add("cost_small_cache", lambda s, d: costmodel.study(s, 8.0))

@@ -40,7 +40,7 @@ def read_relation(spark: SparkSession, path: str, n: int | None = None, wide: bo
     n keeps that many rows at most; a shorter file gives what it has. Negative keys are kept.
     """
     kind = "bigint" if wide else "int"
-    lines = spark.read.option("header", True).schema("line string").csv(path, sep="\u0001").where(F.trim("line") != "")
+    lines = spark.read.option("header", True).option("quote", "").schema("line string").csv(path, sep="\u0001").where(F.trim("line") != "")
     parts = F.split(F.trim("line"), r"[\s,]+")
     rows = lines.select(F.expr("1").alias("one"), parts.alias("p")).selectExpr(f"try_cast(p[0] as {kind}) as key", f"coalesce(try_cast(get(p, 1) as {kind}), cast(0 as {kind})) as payload")
     return rows if n is None else rows.limit(n)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import comparing, hashing
-from tributary.operators import joins
+from tributary.operators import joins, partitioning
 from tributary.plans import costmodel
 from tributary.sources import generators, tables
 
@@ -57,6 +57,59 @@ def test_generators(spark):
     assert max(top) > 5 * 5000 / 100
 
 
+@pytest.mark.parametrize("theta", [0.5, 1.0, 1.75])
+def test_zipf_has_its_probabilities(theta):
+    import numpy as np
+
+    n, alphabet = 200_000, 20
+    got = np.bincount(generators.zipf_ranks(np.arange(n), alphabet, theta, 7), minlength=alphabet + 1)[1:]
+    p = np.arange(1, alphabet + 1) ** -theta
+    want = n * p / p.sum()
+    assert (np.abs(got - want) < 5 * np.sqrt(want)).all()
+    large = generators.zipf_ranks(np.arange(n), 128_000_000, theta, 7)
+    assert large.min() >= 1 and large.max() <= 128_000_000
+
+
+def test_default_workload_with_skew(spark):
+    r, s = generators.workload(spark, skew=1.0)
+    assert r.limit(3).count() == s.limit(3).count() == 3
+
+
+def test_text_relations(spark):
+    r, s = generators.text_relations(spark, 4, 50)
+    assert sorted(x.value for x in r.collect()) == [f"{i}|{i}" for i in range(4)]
+    got = [tuple(map(int, x.value.split("|"))) for x in s.collect()]
+    assert sorted(i for i, _ in got) == list(range(50)) and {k for _, k in got} == set(range(4))
+
+
+def test_descents_of_sorted_and_unsorted_tables(spark):
+    import random
+
+    keys = list(range(500))
+    random.Random(3).shuffle(keys)
+    for given in (sorted(keys), sorted(keys, reverse=True), keys, [1, 1, 1], [], [2, None, 1]):
+        df = spark.createDataFrame(list(enumerate(given)), "at long, k long").repartition(3)
+        want = sum(b < a for a, b in zip(given, given[1:]) if a is not None and b is not None)
+        assert tuple(partitioning.descents(df, "k", ["at"]).first()) == (len(given), want)
+
+
+@pytest.mark.parametrize(("buckets", "passes"), [(256, 2), (128, 2), (64, 3), (16, 1)])
+def test_two_passes_end_where_one_does(spark, buckets, passes):
+    df = spark.range(-300, 3000).withColumnRenamed("id", "k")
+    two = partitioning.two_pass(df, "k", buckets, passes, 8)
+    assert two.select("k", "pid").where(F.col("pid") != hashing.modulo("k", buckets)).count() == 0
+    assert two.withColumn("task", F.spark_partition_id()).groupBy("pid").agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+    assert two.count() == 3300
+
+
+def test_late_refuses_repeated_ids(spark, repeated):
+    r, s = repeated
+    out = joins.late(r, s, "key", "key", ["payload"], ["payload"], ["key"], ["payload"])
+    assert rows(out) == [(-5, -5, 12), (0, 0, 10), (0, 0, 10), (0, 0, 11), (0, 0, 11)]
+    with pytest.raises(Exception, match="row ids repeat"):
+        joins.late(r, s, "key", "key", ["key"], ["payload"], ["payload"], ["key"]).collect()
+
+
 def test_hashes(spark):
     keys = [0, 1, 5, 8, 63, 64, 1000, 123456]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
@@ -69,6 +122,14 @@ def test_readers(spark, tmp_path):
     p = tmp_path / "t.tbl"
     p.write_text("1|x||2.5\n2|y|7|\n")
     assert rows(tables.read_delimited(spark, str(p), ["int", "char(3)", "long", "dec"])) == [(1, "x", None, 2.5), (2, "y", 7, None)]
+    import bz2
+    import gzip
+
+    (tmp_path / "packed.tbl").write_bytes(bz2.compress(b"1|x\n") + bz2.compress(b'2|"y\n'))
+    assert rows(tables.read_delimited(spark, str(tmp_path / "packed.tbl"), ["int", "char(3)"])) == [(1, "x"), (2, '"y')]
+    (tmp_path / "gz.tbl").write_bytes(gzip.compress(b"1|x\n"))
+    with pytest.raises(ValueError):
+        tables.read_delimited(spark, str(tmp_path / "gz.tbl"), ["int", "char(3)"])
     q = tmp_path / "quote.tbl"
     q.write_text('#KEY, VAL\n1 "2\n3 4\n')
     assert [r.key for r in tables.read_relation(spark, str(q)).collect()] == [1, 3]

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Runs of keys that `mpsm` merges each for itself.
+RUNS = 32
 #: Bytes, as the optimizer estimates them, up to which a side is broadcast or met by nested loops.
 MOST_BROADCAST, MOST_NESTED = 64 << 20, 16 << 20
 
@@ -72,13 +74,11 @@ def join(name: str, r: DataFrame, s: DataFrame, r_key: str, s_key: str, r_column
     left, right = _keyed(r, r_key, r_columns, "r"), _keyed(s, s_key, s_columns, "s")
     on = ["key"]
     if name.lower() == "mpsm":
-        # ranges of keys, cut evenly between R's least and largest one, are merged each for itself
-        low, high = left.agg(F.min("key"), F.max("key")).first()
-        parts = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if low is not None:
-            run = F.floor((F.col("key") - low) / F.lit(max(1, -(-(high - low + 1) // parts))))
-            left, right = left.withColumn("run", run), right.withColumn("run", run)
-            on = ["run", "key"]
+        # runs end at quantiles of R's keys, so that each holds as many of its rows; they are found while the query runs
+        ends = left.agg(F.percentile_approx("key", [i / RUNS for i in range(1, RUNS)])).scalar()
+        run = F.when(F.col("ends").isNull(), 0).otherwise(F.size(F.filter("ends", lambda e: e < F.col("key"))))
+        left, right = (t.withColumn("ends", ends).withColumn("run", run).drop("ends") for t in (left, right))
+        on = ["run", "key"]
     if own.single:
         left, right = left.coalesce(1), right.coalesce(1)
     out = right.join(left.hint(own.hint), on, "inner")
@@ -98,11 +98,20 @@ def histogram(rows: DataFrame, key: str = "key", mask: int = 511) -> DataFrame:
     return rows.groupBy(F.col(key).bitwiseAND(F.lit(mask).cast("long")).alias("slot")).agg(F.count(F.lit(1)).alias("matches"))
 
 
+def _by_id(df: DataFrame, ids: list[str], columns: list[str], side: str) -> DataFrame:
+    names = [f"{side}_{c}" for c in ids]
+    others = [F.col(c).alias(f"{side}_{c}") for c in dict.fromkeys(columns) if c not in ids]
+    grouped = df.groupBy(*[F.col(c).alias(n) for c, n in zip(ids, names)]).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(1).alias("_one"), *others)).alias("_row"))
+    once = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit("row ids repeat")))
+    return grouped.withColumn("_row", once).select(*names, *[F.col(f"_row.{side}_{c}") for c in dict.fromkeys(columns) if c not in ids])
+
+
 def late(r: DataFrame, s: DataFrame, r_key: str, s_key: str, r_id: list[str], s_id: list[str], r_columns: list[str], s_columns: list[str]) -> DataFrame:
-    """Keys and row ids are joined first; columns come by joining back on the ids, so wide rows move only where they match."""
+    """Keys and row ids are joined first; columns come by joining back on the ids, so wide rows move only where they match.
+
+    Ids must be unique on their side; a repeated one fails the query when it runs, as it would repeat pairs."""
     pairs = join("pro", r, s, r_key, s_key, r_id, s_id)
-    wide_r = r.select(*[F.col(c).alias(f"r_{c}") for c in dict.fromkeys([*r_id, *r_columns])])
-    wide_s = s.select(*[F.col(c).alias(f"s_{c}") for c in dict.fromkeys([*s_id, *s_columns])])
+    wide_r, wide_s = _by_id(r, r_id, r_columns, "r"), _by_id(s, s_id, s_columns, "s")
     out = pairs.join(wide_r, [f"r_{c}" for c in r_id]).join(wide_s, [f"s_{c}" for c in s_id])
     return out.select("key", *[f"r_{c}" for c in r_columns], *[f"s_{c}" for c in s_columns])
 
@@ -110,10 +119,10 @@ def late(r: DataFrame, s: DataFrame, r_key: str, s_key: str, r_id: list[str], s_
 def salted(r: DataFrame, s: DataFrame, r_key: str, s_key: str, r_columns: list[str], s_columns: list[str], rows: int = 100_000) -> DataFrame:
     """An inner join in which a key with more than `rows` rows in S is spread over as many tasks as it takes.
 
-    Only the hot keys of R are repeated; there are at most |S| / rows of them, so their table is broadcast."""
+    Only the hot keys of R are repeated. There are at most |S| / rows of them, so the table of hot keys is joined as AQE finds its
+    size when the query runs: by broadcast below its limit, by a shuffle above."""
     left, right = _keyed(r, r_key, r_columns, "r"), _keyed(s, s_key, s_columns, "s")
     hot = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select("key", F.ceil(F.col("n") / rows).cast("int").alias("salts"))
-    hot = F.broadcast(hot)
     salts = F.coalesce("salts", F.lit(1))
     one = left.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     two = right.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64(*[c for c in right.columns]), salts).cast("int")).drop("salts")
@@ -125,10 +134,6 @@ def physical(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def filtered(df: DataFrame, condition: Column) -> DataFrame:
-    return df.where(condition)
-
-
 def edge_selectivity(r: DataFrame, s: DataFrame, r_key: str, s_key: str, name: str) -> DataFrame:
     """(edge, matches, selectivity): the matches of an equi-join, and their part of all pairs; both sides are counted once each."""
     ones = lambda df, key, n: df.groupBy(F.col(key).cast("long").alias("key")).agg(F.count(F.lit(1)).alias(n))

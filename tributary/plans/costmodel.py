@@ -154,12 +154,21 @@ def evaluate(spark: SparkSession, l3_mib: float = L3_MIB, given: list[Workload]
     return done.select("workload_id", "benchmark", "description", "conflict", "skew", "algorithm", "query_model", "join_order", "enumeration", "greedy", F.col("end.cost").alias("cost"), F.col("end.most").alias("max_rows"), (F.col("end.most") * F.col("end.width") / MIB).alias("max_mib"), F.col("end.crossings").alias("crossings"))
 
 
+def cheapest(every: DataFrame) -> DataFrame:
+    """The cheapest order of each workload by each algorithm, the first among equals."""
+    rank = F.row_number().over(Window.partitionBy("workload_id", "algorithm").orderBy("cost", "enumeration"))
+    return every.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def heuristic(every: DataFrame) -> DataFrame:
+    return every.where("greedy")
+
+
 def study(spark: SparkSession, l3_mib: float = L3_MIB, given: list[Workload] | None = None) -> DataFrame:
     """The cheapest order of each workload by each algorithm (the first among equals), and how much the greedy one costs more."""
     every = evaluate(spark, l3_mib, given)
-    rank = F.row_number().over(Window.partitionBy("workload_id", "algorithm").orderBy("cost", "enumeration"))
-    best = every.withColumn("rank", rank).where("rank = 1")
-    other = every.where("greedy").select("workload_id", "algorithm", F.col("join_order").alias("heuristic_order"), F.col("cost").alias("other"))
+    best = cheapest(every)
+    other = heuristic(every).select("workload_id", "algorithm", F.col("join_order").alias("heuristic_order"), F.col("cost").alias("other"))
     return best.join(other, ["workload_id", "algorithm"]).select(
         "workload_id", "benchmark", "description", "conflict", "algorithm", "query_model", F.col("join_order").alias("best_order"),
         F.round(F.col("cost") / 1e6, 4).alias("normalized_cost"), F.col("max_rows").cast("long").alias("max_intermediate_rows"), F.round("max_mib", 2).alias("max_intermediate_mib"),

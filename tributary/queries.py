@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions import comparing, hashing
 from tributary.operators import joins, partitioning
-from tributary.plans import costmodel, multijoin
+from tributary.plans import costmodel, costsql, multijoin
+from tributary.sources import generators
 from tributary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +101,14 @@ def _hashes() -> None:
 def _sorts() -> None:
     order = lambda: Window.partitionBy("o_custkey").orderBy("o_orderkey")
     _add("sort_ranks", lambda s, d: read_table(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order()).cast("long").alias("place")), "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders")
-    _add("sort_check", lambda s, d: partitioning.descents(read_table(s, d, "lineitem"), "l_partkey"), "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS descents FROM lineitem")
+    steps = "SELECT count(*) AS rows, count(*) FILTER (WHERE {0} < before) AS descents FROM (SELECT {0}, lag({0}) OVER (ORDER BY o_orderkey) AS before FROM orders)"
+    for name, key in (("sort_check", "o_custkey"), ("sort_check_sorted", "o_orderkey")):
+        _add(name, lambda s, d, k=key: partitioning.descents(read_table(s, d, "orders"), k, ["o_orderkey"]), steps.format(key))
+    _add(
+        "two_pass_rows",
+        lambda s, d: partitioning.two_pass(read_table(s, d, "orders").select("o_orderkey"), "o_orderkey", 256, 2, 64),
+        "SELECT o_orderkey, (o_orderkey & 240) >> 4 AS pid1, o_orderkey & 15 AS pid2, o_orderkey & 255 AS pid FROM orders",
+    )
 
     def merged(s: SparkSession, d: str) -> DataFrame:
         t = read_table(s, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("payload"))
@@ -134,10 +142,30 @@ def _orders() -> None:
         "SELECT 'orders-lineitem' AS edge, count(*) AS matches, count(*) / (CAST((SELECT count(*) FROM orders) AS DOUBLE) * (SELECT count(*) FROM lineitem)) AS selectivity "
         "FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     )
-    _add("cost_model_48", lambda s, d: costmodel.study(s))
-    _add("cost_all_orders", lambda s, d: costmodel.evaluate(s).drop("description", "conflict"))
-    _add("cost_small_cache", lambda s, d: costmodel.study(s, 8.0))
+    _add("cost_model_48", lambda s, d: costmodel.study(s), costsql.study())
+    _add("cost_small_cache", lambda s, d: costmodel.study(s, 8.0), costsql.study(8.0))
+    rounded = {"cost": F.round, "max_rows": F.round}
+
+    def every(s: SparkSession, d: str) -> DataFrame:
+        out = costmodel.evaluate(s).drop("description", "conflict")
+        return out.withColumns({n: f(n, 2) for n, f in rounded.items()} | {"max_mib": F.round("max_mib", 4)})
+
+    _add("cost_all_orders", every, costsql.all_orders())
+    for name, chosen, sql in (("cost_best_order", costmodel.cheapest, costsql.best_order()), ("cost_heuristic", costmodel.heuristic, costsql.heuristic())):
+        _add(name, lambda s, d, f=chosen: f(costmodel.evaluate(s)).select("workload_id", "algorithm", "join_order", F.round("cost", 2).alias("cost")), sql)
+
+
+def _generators() -> None:
+    """Counts of generated relations by what their definitions promise."""
+    n = 100_000
+    counted = lambda df: df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("key").alias("keys"), F.min("key").alias("low"), F.max("key").alias("high"))
+    expected = "SELECT CAST({0} AS BIGINT) AS rows, CAST({1} AS BIGINT) AS keys, CAST(1 AS BIGINT) AS low, CAST({1} AS BIGINT) AS high"
+    _add("generate_primary_key", lambda s, d: counted(generators.primary_key(s, n)), expected.format(n, n))
+    _add("generate_foreign_key", lambda s, d: counted(generators.foreign_key(s, n, 1000)), expected.format(n, 1000))
+    _add("generate_foreign_key_of", lambda s, d: counted(generators.foreign_key_of(generators.primary_key(s, 1000), n, 1000)), expected.format(n, 1000))
+    _add("generate_zipf", lambda s, d: generators.zipf(s, n, 1 << 27, 1.0))
+    _add("generate_non_unique", lambda s, d: generators.non_unique(s, n, 1000))
 
 
-for _part in (_joins, _more_joins, _hashes, _sorts, _orders):
+for _part in (_joins, _more_joins, _hashes, _sorts, _orders, _generators):
     _part()

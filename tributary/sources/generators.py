@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 R_SEED, S_SEED = 12345, 54321
 FULL_RANGE = 2_147_483_647
-#: Ranks of a Zipf distribution that are looked up in a table; it is sent to every task.
-MOST_RANKS = 1 << 20
 
 
 def _affine(n: int, seed: int) -> tuple[int, int]:
@@ -57,21 +55,52 @@ def full_range(spark: SparkSession, n: int, seed: int = R_SEED) -> DataFrame:
     return non_unique(spark, n, FULL_RANGE, seed)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit ones, by the finisher of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53) + 2.0**-54
+
+
+def zipf_ranks(ids: np.ndarray, alphabet: int, theta: float, seed: int) -> np.ndarray:
+    """A rank in 1..alphabet for each id, with probability in proportion to 1/rank^theta: rejection-inversion (Hoermann and Derflinger,
+    1996), exact for any alphabet without a table. The t-th try of an id takes its t-th number, so a rank depends on the id alone."""
+    if alphabet < 1 or theta <= 0:
+        raise ValueError("the alphabet must have keys, and theta be above 0")
+    flat = abs(theta - 1.0) < 1e-9
+    area = lambda x: np.log(x) if flat else np.expm1((1 - theta) * np.log(x)) / (1 - theta)
+    back = lambda y: np.exp(y) if flat else np.exp(np.log1p(np.maximum(y * (1 - theta), -1 + 1e-16)) / (1 - theta))
+    low, high = area(1.5) - 1.0, area(alphabet + 0.5)
+    near = 2.0 - back(area(2.5) - 2.0**-theta)
+    out, left, t = np.zeros(len(ids), "int64"), np.arange(len(ids)), 0
+    start = ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64))
+    while len(left):
+        u = high + _mixed(start[left] + np.uint64(t * 0xA0761D6478BD642F % (1 << 64))) * (low - high)
+        x = back(u)
+        k = np.clip(np.floor(x + 0.5), 1, alphabet)
+        good = (k - x <= near) | (u >= area(k + 0.5) - k**-theta)
+        out[left[good]] = k[good]
+        left, t = left[~good], t + 1
+    return out
+
+
 def zipf(spark: SparkSession, n: int, alphabet: int, theta: float, seed: int = S_SEED) -> DataFrame:
-    """n keys of 1..alphabet, the i-th of a permutation with probability in proportion to 1/i^theta. The cumulated
-    probabilities are a table of alphabet numbers, so alphabet is at most MOST_RANKS."""
-    if not 1 <= alphabet <= MOST_RANKS:
-        raise ValueError(f"the alphabet must have 1 to {MOST_RANKS} keys")
-    upto = np.cumsum(1.0 / np.arange(1, alphabet + 1) ** theta)
-    sent = spark.sparkContext.broadcast(upto / upto[-1])
+    """n keys of 1..alphabet, the i-th of a permutation with probability in proportion to 1/i^theta."""
+    zipf_ranks(np.arange(0), alphabet, theta, seed)
 
     @F.pandas_udf("long")
-    def rank(u):  # noqa: ANN001, ANN202
+    def rank(i):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(np.minimum(np.searchsorted(sent.value, u.to_numpy(), side="right"), len(sent.value) - 1))
+        return pd.Series(zipf_ranks(i.to_numpy(), alphabet, theta, seed))
+
+    return spark.range(n).select(_permuted(rank("id"), alphabet, seed).alias("key"), F.col("id").alias("payload"))
+
 
-    return spark.range(n).select(_permuted(rank(_unit(F.col("id"), seed)), alphabet, seed).alias("key"), F.col("id").alias("payload"))
+def text_relations(spark: SparkSession, r_size: int, s_size: int, seed: int = S_SEED) -> tuple[DataFrame, DataFrame]:
+    """Lines `i|i` of the build side, and `row|key` of the probe side with uniform keys of the build side, as one column `value`."""
+    probe = non_unique(spark, s_size, r_size, seed)
+    return spark.range(r_size).select(F.concat_ws("|", "id", "id").alias("value")), probe.select(F.concat_ws("|", "payload", "key").alias("value"))
 
 
 def generate(spark: SparkSession, n: int, alphabet: int, theta: float = 0.0, seed: int = R_SEED) -> DataFrame:

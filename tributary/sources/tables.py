@@ -24,13 +24,56 @@ def schema_of(types: list[str], names: list[str] | None = None) -> T.StructType:
     return T.StructType([T.StructField(n, parse_type(t)) for n, t in zip(names or [f"c{i + 1}" for i in range(len(types))], types, strict=True)])
 
 
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first three bytes of the first file of a path that isn't empty."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(where) or []:
+        for f in fs.listStatus(found.getPath()):
+            name = f.getPath().getName()
+            if f.isFile() and f.getLen() and not name.startswith(("_", ".")) and not name.endswith((".bz2", ".gz")):
+                stream = fs.open(f.getPath())
+                try:
+                    return bytes(b for b in (stream.read() for _ in range(min(3, f.getLen()))) if b >= 0)
+                finally:
+                    stream.close()
+    return b""
+
+
+def _bunzipped(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of bzip2 files, a file in each task, unpacked by pieces of 1 MB; several streams in one file follow each other."""
+
+    def lines(batches):  # noqa: ANN001, ANN202
+        import bz2
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                with bz2.open(io.BytesIO(content.as_py())) as unpacked:
+                    while got := unpacked.readlines(1 << 20):
+                        yield pa.RecordBatch.from_pydict({"value": [g.rstrip(b"\r\n").decode("utf-8", "replace") for g in got]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string").where("value != ''")
+
+
 def read_delimited(spark: SparkSession, path: str, types: list[str], names: list[str] | None = None, sep: str = "|", compression: str | None = None) -> DataFrame:
-    """Typed rows of separated text; `.bz2` and `.gz` files are opened by their extension. An empty field is null, and a field that
-    doesn't parse is null as well; a separator at the end of a line adds no column."""
+    """Typed rows of separated text. An empty field is null, and a field that doesn't parse is null as well; quotes are text, and a
+    separator at the end of a line adds no column. `.bz2` and `.gz` files are opened by their extension; bzip2 under another name is known
+    by how the first file begins (all files of a path are of one kind; each is then read by one task, 2 GB at most), gzip raises ValueError."""
     schema = schema_of(types, names)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     reader = spark.read.schema(text).option("mode", "PERMISSIVE")
-    raw = (reader.option("compression", compression) if compression else reader).csv(path, sep=sep)
+    begins = b"" if path.endswith((".bz2", ".gz")) else _head(spark, path)
+    if begins[:2] == b"\x1f\x8b":
+        raise ValueError(f"{path} is gzip by content; give it the extension .gz")
+    source = _bunzipped(spark, path) if begins == b"BZh" else path
+    if isinstance(source, DataFrame):
+        fields = F.split("value", re.escape(sep))
+        raw = source.select(*[F.nullif(F.get(fields, F.lit(i)), F.lit("")).alias(f.name) for i, f in enumerate(text)])
+    else:
+        raw = (reader.option("compression", compression) if compression else reader).option("quote", "").csv(path, sep=sep)
     return raw.select(*[F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in schema])
 
 
